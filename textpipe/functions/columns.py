@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..plans.config import Operation
 from . import interpreter
@@ -64,14 +65,14 @@ def trim_trailing_whitespace(c: Column) -> Column:
 
 
 def remove_blank_lines(c: Column) -> Column:
-    return let(F.filter(content_array(c), lambda x: ~is_blank(x)), lambda k: F.when(F.size(k) > 0, F.concat(F.array_join(k, "\n"), _final(c))).otherwise(""))
+    return let(F.filter(content_array(c), lambda x: ~is_blank(x)), lambda k: F.when(F.size(k) > 0, F.concat(F.array_join(k, "\n"), _final(c))).when(k.isNotNull(), ""))
 
 
 def trim_and_filter(c: Column, dedupe: bool) -> Column:
     """Trailing white space, blank lines and, if asked, repeated lines at once; equal to the single steps in that order."""
     lines = F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)(?<!\s)\s++\z", "")), lambda x: x != "")
     ends = c.rlike(r"(?U)\n[\s&&[^\n]]*+\z")
-    return let(F.array_distinct(lines) if dedupe else lines, lambda k: F.when(F.size(k) > 0, F.concat(F.array_join(k, "\n"), F.when(ends, "\n").otherwise(""))).otherwise(""))
+    return let(F.array_distinct(lines) if dedupe else lines, lambda k: F.when(F.size(k) > 0, F.concat(F.array_join(k, "\n"), F.when(ends, "\n").otherwise(""))).when(k.isNotNull(), ""))
 
 
 def unwrap_lines(c: Column) -> Column:
@@ -125,13 +126,18 @@ def title(c: Column) -> Column:
     return _words(c, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), lower(F.substr(w, F.lit(2)))))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _sentence(texts: pd.Series) -> pd.Series:
     return texts.map(interpreter.sentence, na_action="ignore")
 
 
+def _kept(c: Column) -> Column:
+    """Hides a case conversion from the rule that makes one of two: ``upper(lower(x))`` is not always ``upper(x)``."""
+    return F.concat(c, F.lit(""))
+
+
 def change_case(c: Column, case: str) -> Column:
-    return {"upper": F.upper, "lower": lower, "title": title, "sentence": _sentence}[case](c)
+    return {"upper": lambda x: _kept(F.upper(x)), "lower": lambda x: _kept(lower(x)), "title": title, "sentence": _sentence}[case](c)
 
 
 # ---------------------------------------------------------------- indicators
@@ -252,7 +258,7 @@ def clean_urls(c: Column) -> Column:
 
 
 def _per_text(f: Callable[[str], str]):
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(f, na_action="ignore")
 

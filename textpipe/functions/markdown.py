@@ -130,7 +130,7 @@ class _Parser:
         while (m := _DEFINITION.match(text)) and m[1].strip():
             self.definitions.add(_label(m[1]))
             text = text[m.end() :]
-        block.lines = text.split("\n") if text.strip() else []
+        block.lines = text.split("\n") if text.strip(" \t\n") else []
         if not block.lines:
             block.kind = "nothing"
 
@@ -436,7 +436,7 @@ class _Inline:
             for places in self.ticks.values():
                 places.reverse()
         n = len(re.compile("`+").match(self.text, at)[0])
-        places = self.ticks[n]
+        places = self.ticks.get(n, [])
         while places and places[-1] <= at:
             places.pop()
         if not places:
@@ -455,7 +455,7 @@ class _Inline:
         while end < len(text) and text[end] == mark:
             end += 1
         before, after = text[at - 1] if at else " ", text[end] if end < len(text) else " "
-        space = lambda c: c.isspace()
+        space = lambda c: c in "\t\n\x0c\r" or unicodedata.category(c) == "Zs"
         punct = lambda c: c in PUNCTUATION or unicodedata.category(c)[0] in "PS"
         left = not space(after) and (not punct(after) or space(before) or punct(before))
         right = not space(before) and (not punct(before) or space(after) or punct(after))

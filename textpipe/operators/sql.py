@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from ..functions import interpreter
@@ -37,7 +38,7 @@ NATIVE: dict[str, tuple[str, str]] = {
 PARSED = ("strip_html", "strip_markdown", "html_to_markdown", "unwrap_lines", "title", "sentence", "extract_emails", "extract_urls", "clean_urls", "defang")
 
 
-@udtf(returnType="line_no int, content string, newline boolean")
+@udtf(returnType=T.StructType().add("line_no", T.IntegerType()).add("content", T.StringType()).add("newline", T.BooleanType()))
 class TextLines:
     """Rows of a text's lines; ``newline`` tells whether one ends the line."""
 
@@ -48,7 +49,7 @@ class TextLines:
                 yield i, line, final or i + 1 < len(lines)
 
 
-@udtf(returnType="token_no int, token string, core string")
+@udtf(returnType=T.StructType().add("token_no", T.IntegerType()).add("token", T.StringType()).add("core", T.StringType()))
 class TextTokens:
     """Rows of a text's tokens, with and without the punctuation around them."""
 
@@ -72,7 +73,7 @@ def register(spark: SparkSession, prefix: str = "tp_") -> list[str]:
 
 
 def _batch(f):
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(f, na_action="ignore")
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..operators.cell import lossy_utf8
 
@@ -29,7 +30,7 @@ def write_texts(df: DataFrame, path: str, column: str = "text", separator: str =
     df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", separator).text(path)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _ladder(raw: pd.Series) -> pd.Series:
     def one(b: bytes | None) -> str | None:
         if b is None:
