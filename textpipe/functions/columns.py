@@ -126,9 +126,17 @@ def title(c: Column) -> Column:
     return _words(c, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), lower(F.substr(w, F.lit(2)))))
 
 
-@pandas_udf(StringType())
-def _sentence(texts: pd.Series) -> pd.Series:
-    return texts.map(interpreter.sentence, na_action="ignore")
+def _per_text(f: Callable[[str], str]):
+    """An Arrow function.  It is declared as not deterministic so that Catalyst never merges the projections on both sides of it, which would run it twice or nest it where it can't be taken out."""
+
+    @pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f, na_action="ignore")
+
+    return run.asNondeterministic()
+
+
+_sentence = _per_text(interpreter.sentence)
 
 
 def _kept(c: Column) -> Column:
@@ -257,12 +265,6 @@ def clean_urls(c: Column) -> Column:
 # ---------------------------------------------------------------- markup
 
 
-def _per_text(f: Callable[[str], str]):
-    @pandas_udf(StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(f, na_action="ignore")
-
-    return run
 
 
 _strip_html = _per_text(interpreter.strip_html)
