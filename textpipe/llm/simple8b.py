@@ -34,6 +34,7 @@ from .common import parallelism, shared_dir, tokenizer_path
 #: Ids in a word and bits of each, by selector 1 to 14; 15 is the escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
+#: A power of two.
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 18
 HEADER = struct.Struct("<4sIQQQQ")
@@ -45,27 +46,31 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, word offset of each block, escaped ids, of an array of unsigned 64-bit ids."""
     n = len(ids)
     ids = ids.astype(np.uint64, copy=False)
-    ends = np.minimum((np.arange(n, dtype=np.int64) // BLOCK_IDS + 1) * BLOCK_IDS, n)
-    best = np.full(n, ESCAPE, dtype=np.int64)
-    at = np.arange(n, dtype=np.int64)
+    best = np.full(n, ESCAPE, dtype=np.uint8)
+    at = np.arange(n, dtype=np.int32)
+    # Places left in the block, which no word may pass, nor the end.
+    left = BLOCK_IDS - (at & (BLOCK_IDS - 1))
+    left[n - n % BLOCK_IDS :] -= BLOCK_IDS - n % BLOCK_IDS
+    widest = int(ids.max()).bit_length() if n else 0
+    # From few wide ids to many narrow ones: where a word can't hold the former it can't hold the latter.
     for k in range(len(SELECTORS), 0, -1):
         count, width = SELECTORS[k - 1]
-        wide = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(ids >= np.uint64(1 << width), out=wide[1:])
-        stop = at + count
-        ok = stop <= ends
-        ok &= wide[np.minimum(stop, n)] == wide[:n]
-        if not ok.any() and width < 15:
+        at = at[left[at] >= count]
+        if width < widest:
+            wide = np.zeros(n + 1, dtype=np.int32)
+            np.cumsum(ids >= np.uint64(1 << width), out=wide[1:])
+            at = at[wide[at + count] == wide[at]]
+        if not len(at):
             break
-        best[ok] = k
-    step = _COUNTS[best].tolist()
+        best[at] = k
+    step = _COUNTS[best].astype(np.uint8).tobytes()
     heads, i = [], 0
     add = heads.append
     while i < n:
         add(i)
         i += step[i]
     head = np.array(heads, dtype=np.int64)
-    selector = best[head]
+    selector = best[head].astype(np.int64)
     words = selector.astype(np.uint64) << np.uint64(60)
     for k, (count, width) in enumerate(SELECTORS, 1):
         mine = np.flatnonzero(selector == k)
@@ -130,17 +135,20 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist())], lengths.astype(np.int64), ids
 
 
+_PRESS, _UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _thin(ids: bytes) -> bytes:
     """Ids for the shuffle: byte planes of the narrowest width, compressed."""
     a = np.frombuffer(ids, dtype="<u4")
     wide = bool(len(a)) and int(a.max()) > 0xFFFF
     planes = np.ascontiguousarray(a.astype("<u4" if wide else "<u2").view(np.uint8).reshape(len(a), -1).T)
-    return bytes([planes.shape[0] if len(a) else 2]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([planes.shape[0] if len(a) else 2]) + _PRESS.compress(planes.tobytes())
 
 
 def _wide(thin: bytes, n: int) -> np.ndarray:
     k = thin[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(thin[1:]), dtype=np.uint8).reshape(k, n)
+    planes = np.frombuffer(_UNPRESS.decompress(thin[1:]), dtype=np.uint8).reshape(k, n)
     return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{k}").astype(np.uint64)
 
 
