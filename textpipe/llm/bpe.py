@@ -31,7 +31,7 @@ from .common import tokenizer_path
 #: Code points below this one have had fixed categories and case pairs for decades, hence Python's
 #: own tables hold; a text with any other goes through the library's normaliser and splitter.
 PLAIN_LIMIT = 0x250
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
 def _class(test) -> str:
@@ -57,37 +57,55 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in keep else next(spare)) for b in range(256)]
 
 
-class ForcedBoundaryBPE:
+class Vocabulary:
+    """Tokens of a vocabulary file by id, and decoding."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.spec = spec
+        vocab = spec["model"]["vocab"]
+        self.special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
+        self.tokens = [""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for token, i in [*vocab.items(), *self.special.items()]:
+            self.tokens[i] = token
+        self.decodes_bytes = bool(spec["decoder"])
+        if self.decodes_bytes:
+            value = {c: b for b, c in enumerate(byte_alphabet())}
+            self.token_bytes = [t.encode() if t in self.special or not all(c in value for c in t) else bytes(value[c] for c in t) for t in self.tokens]
+
+    def decode(self, ids: bytes) -> str:
+        """The text that the library's ``decode(ids, skip_special_tokens=False)`` returns."""
+        found = np.frombuffer(ids, dtype="<u4").tolist()
+        if self.decodes_bytes:
+            return b"".join(map(self.token_bytes.__getitem__, found)).decode("utf-8", "replace")
+        return " ".join(map(self.tokens.__getitem__, found))
+
+
+class ForcedBoundaryBPE(Vocabulary):
     """Encoder and decoder for one vocabulary file of the ``tokenizers`` library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+        super().__init__(path)
+        spec, model = self.spec, self.spec["model"]
         self.library = Tokenizer.from_file(path)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.inner = BPE(vocab=model["vocab"], merges=merges)
-        self.last = BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
+        self.inner = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+        self.last = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=self.suffix) if self.suffix else self.inner
         self.split = SPLITTERS["words" if self.suffix else "bytes"]
         self.piece = None if self.suffix else _by_rank(model["vocab"], merges)
         self.lower = bool(spec["normalizer"])
         self.alphabet = byte_alphabet()
-        self.special = {t["content"]: int(t["id"]) for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.tokens = [""] * (1 + max([*model["vocab"].values(), *self.special.values()]))
-        for token, i in [*model["vocab"].items(), *self.special.items()]:
-            self.tokens[i] = token
         self.inside = self._neighbours(model["vocab"])
+        del self.spec
         self.words = _Cache(self._plain_word)
         self.mapped = _Cache(self._word)
         self.fragments = {True: _Cache(lambda x: self._fragment(self.last, x)), False: _Cache(lambda x: self._fragment(self.inner, x))}
-        value = {c: b for b, c in enumerate(self.alphabet)}
-        self.token_bytes = [t.encode() if t in self.special else bytes(value[c] for c in t) if all(c in value for c in t) else t.encode() for t in self.tokens]
-        self.decodes_bytes = bool(spec["decoder"])
 
     def _neighbours(self, vocab: dict[str, int]) -> dict[str, set[str]]:
         """For each character of the byte alphabet those that follow it inside some token: anywhere else the cut is certain."""
@@ -140,13 +158,6 @@ class ForcedBoundaryBPE:
             return self._encode_part(text)
         return b"".join(np.array([self.special[p]], dtype="<u4").tobytes() if p in self.special else self._encode_part(p) for p in self.special_at.split(text) if p)
 
-    def decode(self, ids: bytes) -> str:
-        """The text that the library's ``decode(ids, skip_special_tokens=False)`` returns."""
-        found = np.frombuffer(ids, dtype="<u4").tolist()
-        if self.decodes_bytes:
-            return b"".join(map(self.token_bytes.__getitem__, found)).decode("utf-8", "replace")
-        return " ".join(map(self.tokens.__getitem__, found))
-
 
 def _by_rank(vocab: dict[str, int], merges: list[tuple[str, str]]):
     """A faster encoder of single words, for vocabularies without word ends whose ids are in the order of the merges."""
@@ -179,14 +190,22 @@ class _Cache(dict):
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as native 32-bit integers, which must be little-endian")
 
-_LOADED: dict[str, ForcedBoundaryBPE] = {}
+_LOADED: dict[tuple[type, str], Vocabulary] = {}
+#: Rows that are held as Python objects at once.
+SLICE_ROWS = 1000
+
 
+def codec(path: str, kind: type = ForcedBoundaryBPE):
+    """One codec for each worker process and file; a worker that only decodes loads no more than the tokens."""
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
-def codec(path: str) -> ForcedBoundaryBPE:
-    """One codec for each worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = ForcedBoundaryBPE(path)
-    return _LOADED[path]
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +218,7 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
@@ -213,8 +232,8 @@ def decode(encoded: DataFrame, vocabulary: str = "word_bpe_49k.json", ids_col: s
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
-        for batch in batches:
+        bpe = codec(path, Vocabulary)
+        for batch in sliced(batches):
             texts = [bpe.decode(x or b"") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import codec, sliced
 from .common import parallelism, shared_dir, tokenizer_path
 
 #: Ids in a word and bits of each, by selector 1 to 14; 15 is the escape.
@@ -168,7 +168,7 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str = "byte_bpe_
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             keys = batch.column(0).to_pylist()
             ids = [bpe.encode(t) + end for t in batch.column(1).to_pylist()]
             shard = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
