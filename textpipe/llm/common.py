@@ -5,11 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of all word-based operators: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,26 +51,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function from one that maps a batch."""
+#: Rows whose texts are held as Python objects at once.
+SLICE_ROWS = 1000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
 
-    return run
-
-
-def in_order(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*names)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the one knob for how widely keys are dealt."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def text_of(name: str) -> Column:
-    return F.col(name).cast("string")

@@ -47,7 +47,7 @@ class Sorted:
         g = h * K
         self.order = np.argsort(g, kind="stable")
         self.keys = g[self.order]
-        bits = max(1, int(len(h) * 2).bit_length())
+        bits = max(1, len(h).bit_length())
         self.shift = np.uint64(64 - bits)
         self.start = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.longest = int(np.diff(self.start).max()) if len(h) else 0
@@ -151,6 +151,8 @@ class Model:
             self.tables.append((at, below.astype(np.float32)))
             where = Sorted(ctx)
             self.contexts.append((where, np.log(weight)[where.order].astype(np.float32)))
+        for at, _ in [*self.tables, *self.contexts]:
+            del at.order
 
     def score(self, units: np.ndarray) -> np.ndarray:
         """Sum of the log probabilities of a text's units, in each model; memory does not grow with the text."""
