@@ -26,10 +26,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         # Smallest label among each vertex' neighbours ...
         seen = edges.join(labels.withColumnsRenamed({"v": "w", "root": "r"}), F.col("v") == F.col("w")).groupBy("u").agg(F.min("r").alias("m"))
-        near = labels.join(seen, F.col("v") == F.col("u")).select("v", "root", F.least("root", "m").alias("best"))
-        near = written(near, "near")
+        near = written(labels.join(seen, F.col("v") == F.col("u")).select("v", "root", F.least("root", "m").alias("best")), "near")
         # ... is offered to the vertex' own label as well (hooking), then every vertex takes its label's label (shortcut).
         offers = near.select(F.col("root").alias("w"), "best").union(near.select(F.col("v").alias("w"), "best")).groupBy("w").agg(F.min("best").alias("r"))
+        # Written, so that the join stands right above two exchanges and a label that very many have can be split.
+        offers = written(offers, "offers")
         new = near.join(offers, near["best"] == offers["w"]).select("v", F.least("best", "r").alias("root"), F.col("root").alias("old"))
         new = written(new, "labels")
         changed = new.where("root <> old").limit(1).count()

@@ -13,8 +13,9 @@ candidates are fetched.  Contents that meet under a band are verified by the exa
 similarity of their shingles (0.8 or more); groups of more than ``MAX_GROUP`` contents are
 verified in pairs of blocks, so that no task holds more than two blocks and no link is lost.
 Components of verified links are classes of paragraphs; the first occurrence of a class (by
-document id) stays.  Later ones go if, with the ones right beside them, they make a run of
-at least ``MIN_RUN`` words, so that stock phrases in otherwise clean documents stay.
+document id) stays, with whatever its document repeats of itself.  Copies in other documents
+go if, with the ones right beside them, they make a run of at least ``MIN_RUN`` words, so
+that stock phrases in otherwise clean documents stay.
 
 Null and empty texts have no paragraphs.  Rows with equal id and text count as one document;
 an empty table gives no rows.
@@ -31,55 +32,53 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, parallelism, written
+from .common import WORD, parallelism, sliced, written
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 4
 MIN_WORDS = 8
-MIN_RUN = 20
-LONG, FORCED, CUT_EVERY = 32, 48, 12
+MIN_RUN = 25
+#: Characters of a stretch beyond which it is cut at words; words after which it is cut at the latest; one in how many words cuts.
+LONG, FORCED, CUT_EVERY = 240, 48, 12
 MAX_GROUP = 500
 #: Occurrences that a task of the first pass sums up before it sends them on.
 BUFFER = 400_000
-_CUT = re.compile(r"(?<=[.!?])[ \t]+|\n")
+#: A mark of several characters ("!!") ends no sentence: shouted texts have one after each word.
+_CUT = re.compile(r"(?<=[^\s.!?][.!?])[ \t]+|\n")
 _WORD = re.compile(WORD)
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 _PLACES = _MULTIPLY[:1] ** np.arange(SHINGLE, dtype=np.uint64)
 
 
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+_hash = xxhash.xxh64_intdigest
 
 
 def spans_of(text: str) -> Iterator[tuple[int, int]]:
-    """Where each paragraph of at least ``MIN_WORDS`` words starts and ends, in order."""
+    """Where each paragraph that may have ``MIN_WORDS`` words starts and ends, in order."""
     at = 0
     for cut in [*_CUT.finditer(text), None]:
         end = cut.start() if cut else len(text)
-        # So many characters are needed for that many words.
-        if end - at >= 2 * MIN_WORDS - 1:
-            yield from _long_or_short(text, at, end)
+        if end - at > LONG:
+            yield from _cut_long(text, at, end)
+        elif end - at >= 2 * MIN_WORDS - 1:
+            # So many characters are needed for that many words.
+            yield at, end
         at = cut.end() if cut else end
 
 
-def _long_or_short(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
-    if end - at < 2 * LONG or len(text[at:end].encode("utf-8", "replace").split()) <= LONG:
-        yield at, end
-        return
+def _cut_long(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
     n, start = 0, at
     for word in _WORD.finditer(text, at, end):
         n += 1
-        if n >= FORCED or _word_hash(word[0].encode("utf-8", "replace").lower()) % CUT_EVERY == 0:
-            if n >= MIN_WORDS:
-                yield start, word.end()
+        if n >= FORCED or _hash(word[0].encode("utf-8", "replace").lower()) % CUT_EVERY == 0:
+            yield start, word.end()
             n, start = 0, word.end()
-    if n >= MIN_WORDS:
-        yield start, end
+    yield start, end
 
 
-def paragraphs(text: str | None) -> tuple[list[tuple[int, int, int]], list[bytes], np.ndarray]:
+def paragraphs(text: str | None, hashed: bool = True) -> tuple[list[tuple[int, int, int]], list[bytes], np.ndarray]:
     """Start, end and words of each paragraph; its normalised content; word hashes of all of them in a row."""
     spans, contents, hashes = [], [], []
     for start, end in spans_of(text) if text else ():
@@ -87,7 +86,8 @@ def paragraphs(text: str | None) -> tuple[list[tuple[int, int, int]], list[bytes
         if len(words) >= MIN_WORDS:
             spans.append((start, end, len(words)))
             contents.append(b" ".join(words))
-            hashes.extend(map(_word_hash, words))
+            if hashed:
+                hashes.extend(map(_hash, words))
     return spans, contents, np.array(hashes, dtype=np.uint64)
 
 
@@ -121,7 +121,7 @@ def bands(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
 
 
 def _row_hash(text: str) -> int:
-    return np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))).astype(np.int64).item()
+    return _signed(_hash(text.encode("utf-8", "replace")))
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +135,12 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate(keys, axis=1)[:, first]
         return pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.arange(BANDS, dtype=np.int8), len(content))), pa.array(np.tile(content.view(np.int64), BANDS)), pa.array(np.tile(n, BANDS).astype(np.int64))], names=["key", "band", "content", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batch.column(0).to_pylist():
             spans, content, hashes = paragraphs(text)
             if spans:
                 keys.append(bands(hashes, [n for _, _, n in spans]))
-                contents.append(np.array([xxhash.xxh64_intdigest(c) for c in content], dtype=np.uint64))
+                contents.append(np.array([_hash(c) for c in content], dtype=np.uint64))
                 size += len(spans)
                 if size >= BUFFER:
                     yield flush()
@@ -183,19 +183,28 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*kept)
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _occurrences(kind: pa.DataType):
+    names = ["content", "doc_id", "row", "paragraph", "lead", "start", "end", "n_words", "between", "body"]
+    types = [pa.int64(), kind, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
+        """``lead`` and ``between``: end of the paragraph before, and a hash of what stands from there (short sentences)."""
+        for batch in sliced(batches):
+            rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans, contents, _ = paragraphs(text)
-                if spans:
-                    row = _row_hash(text)
-                    for k, ((start, end, n), content) in enumerate(zip(spans, contents)):
-                        for column, value in zip(rows, (np.uint64(xxhash.xxh64_intdigest(content)).astype(np.int64).item(), doc, row, k, start, end, n, content.decode("utf-8", "replace"))):
-                            column.append(value)
-            types = [pa.int64(), kind, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["content", "doc_id", "row", "paragraph", "start", "end", "n_words", "body"])
+                spans, contents, _ = paragraphs(text, hashed=False)
+                row = _row_hash(text) if spans else 0
+                lead = 0
+                for k, ((start, end, n), content) in enumerate(zip(spans, contents)):
+                    between = _hash(b" ".join(text[lead:start].encode("utf-8", "replace").lower().split()))
+                    rows.append((_signed(_hash(content)), doc, row, k, lead, start, end, n, _signed(between), content.decode("utf-8", "replace")))
+                    lead = end
+            columns = zip(*rows) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
 
@@ -214,7 +223,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: tuple | None = None
 
     def flush() -> Iterator[pa.RecordBatch]:
-        sets = {c: frozenset(shingles(np.array([_word_hash(w) for w in body.encode("utf-8", "replace").split()], dtype=np.uint64)).tolist()) for c, body in held.items()}
+        sets = {c: frozenset(shingles(np.array(list(map(_hash, body.encode("utf-8", "replace").split())), dtype=np.uint64)).tolist()) for c, body in held.items()}
         root = {c: c for c in sets}
 
         def find(c: int) -> int:
@@ -249,8 +258,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(near: DataFrame, found: DataFrame, max_group: int) -> DataFrame:
     """Verified links between contents that meet under a key."""
     spark = near.sparkSession
-    sizes = near.groupBy("key").agg(F.count("*").alias("size"))
-    bodies = found.join(near.select("content").distinct(), "content", "left_semi").groupBy("content").agg(F.first("body").alias("body"))
+    # Aggregates are written before they are joined: a join right above two exchanges is one whose hot keys Spark can split.
+    sizes = written(near.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    wanted = written(near.select("content").distinct(), "wanted")
+    bodies = written(found.join(wanted, "content", "left_semi"), "bodies").groupBy("content").agg(F.first("body").alias("body"))
     blocks = F.ceil(F.col("size") / max_group).cast("int")
     own = F.pmod(F.xxhash64(F.lit("block"), F.col("content")), F.col("blocks")).cast("int")
     rows = near.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", own)
@@ -270,19 +281,27 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("text").mapInArrow(_band_rows, "key long, band byte, content long, n long")
     meet = written(rows.repartition(parallelism(spark), "key").sortWithinPartitions("key", "content").mapInArrow(_meetings, "key long, content long"), "meetings")
-    near = meet.where("key IS NOT NULL").distinct()
-    seen = docs.mapInArrow(_occurrences(pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), f"content long, doc_id {kind}, row long, paragraph int, start int, end int, n_words int, body string")
-    found = written(seen.join(meet.select("content").distinct(), "content", "left_semi"), "occurrences")
+    near = written(meet.where("key IS NOT NULL").distinct(), "near")
+    candidates = written(meet.select("content").distinct(), "candidates")
+    seen = docs.mapInArrow(_occurrences(pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), f"content long, doc_id {kind}, row long, paragraph int, lead int, start int, end int, n_words int, between long, body string")
+    found = written(seen.join(candidates, "content", "left_semi"), "occurrences")
     roots = components(_links(near, found, max_group))
     here = found.drop("body").distinct().join(roots, found["content"] == roots["v"], "left").withColumn("class_id", F.coalesce("root", "content")).drop("v", "root", "content")
     here = written(here, "classes")
-    keepers = here.groupBy("class_id").agg(F.min(F.struct("doc_id", "row", "paragraph")).alias("keeper"), F.count("*").alias("class_size")).where("class_size > 1")
-    here = here.join(keepers, "class_id").withColumn("copy", F.struct("doc_id", "row", "paragraph") != F.col("keeper"))
+    first = F.min(F.struct("doc_id", "row", "paragraph", "between")).alias("keeper")
+    keepers = written(here.groupBy("class_id").agg(first, F.count("*").alias("class_size")).where("class_size > 1"), "keepers")
+    # What a document repeats of itself stays: a copy is one of another document's paragraph.
+    own = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("row") == F.col("keeper.row"))
+    here = here.join(keepers, "class_id").withColumn("copy", ~F.coalesce(own, F.lit(False)))
     # Runs of neighbouring copies within a document; its own paragraphs are all that a window holds.
     order = Window.partitionBy("doc_id", "row", "copy").orderBy("paragraph")
     runs = here.withColumn("run", F.col("paragraph") - F.row_number().over(order))
-    words = F.sum("n_words").over(Window.partitionBy("doc_id", "row", "copy", "run"))
-    return runs.select("doc_id", "row", "paragraph", "start", "end", "n_words", "class_id", "class_size", F.col("keeper.doc_id").alias("keeper_id"), (F.col("copy") & (words >= min_run)).alias("removed"))
+    run = Window.partitionBy("doc_id", "row", "copy", "run")
+    runs = runs.withColumn("removed", F.col("copy") & (F.sum("n_words").over(run) >= min_run))
+    # Short sentences between two removed paragraphs, or before a first one, go too if they are those of the paragraph that stays.
+    joined = (F.col("between") == F.col("keeper.between")) & ((F.col("paragraph") == 0) | (F.col("paragraph") > F.min("paragraph").over(run)))
+    start = F.when(F.col("removed") & joined, F.col("lead")).otherwise(F.col("start"))
+    return runs.select("doc_id", "row", "paragraph", start.alias("start"), "end", "n_words", "class_id", "class_size", F.col("keeper.doc_id").alias("keeper_id"), "removed")
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,7 +313,7 @@ def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str
     joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for text, cuts in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 for one in cuts or ():
