@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, written
+from .common import parallelism, sliced, written
 from .components import components
 
 BITS = 64
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id`` and ``fp`` (long: the 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = nodes.join(roots, nodes["fp"] == roots["v"]).select("fp", "root", "first")
     least = grouped.groupBy("root").agg(F.min("first").alias("least"))
     linked = grouped.join(least, "root").select("fp", "least")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the last join stands right above two exchanges and a fingerprint that very many have can be split.
+    named = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
