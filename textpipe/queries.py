@@ -102,7 +102,10 @@ cell_query("split_on", "text", one("split_on", delimiter=", "), f"replace(x, ',
 cell_query("change_case_upper", "text", one("change_case", case="upper"), "upper(replace(x, 'ß', 'SS'))")
 cell_query("change_case_lower", "text", one("change_case", case="lower"), "lower(x)")
 cell_query("change_case_title", "text", one("change_case", case="title"), r"array_to_string(list_transform(regexp_extract_all(x, '\s+|[^\s]+'), lambda w: upper(replace(w[1], 'ß', 'SS')) || lower(w[2:])), '')")
-cell_query("change_case_sentence", "text", one("change_case", case="sentence"))
+# Sentences start at the text's start and before white space that follows a mark; the first letter in each becomes upper case.
+_SENTENCES = r"string_split(regexp_replace(lower(x), '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1))"
+_FIRST = r"length(regexp_extract(s, '^[^\p{L}]*'))"
+cell_query("change_case_sentence", "text", one("change_case", case="sentence"), f"array_to_string(list_transform({_SENTENCES}, lambda s: s[:{_FIRST}] || upper(replace(s[{_FIRST} + 1], 'ß', 'SS')) || s[{_FIRST} + 2:]), '')")
 _PUNCT = "<>()[]{},;:\"''"
 _CORES = rf"list_transform(regexp_extract_all(x, '[^\s]+'), lambda w: trim(w, '{_PUNCT}'))"
 _EMAIL = r"[^@]+@[^@.]+\.[^@]+"
