@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.html import BLOCK_TAGS
 from .operators import cell, lines, sql
 from .plans.config import SPECS, Config, op
 from .sources.text import routed
@@ -164,18 +165,28 @@ markup_query("strip_markdown", one("strip_markdown"), ("# Head *ing*\n\n**", "**
 markup_query("default_log_pipeline", Config(tuple(map(op, ("remove_blank_lines", "trim_trailing_whitespace", "collapse_whitespace", "strip_markdown", "strip_html")))), ("<div>", "  \t </div><p>", "\t</p>\n\n\n"), ("", "\n", ""))
 
 
-def pages_query(name: str, config: Config) -> None:
+# The pages' markup in RE2: raw text and comments go, block tags become newlines (two at most in a row), other tags nothing.
+_TAGS = "|".join(sorted(BLOCK_TAGS))
+_PAGE = "html"
+for _pattern, _by in ((r"(?is)<(style|script)>.*?</(style|script)>", "''"), (r"(?s)<!--.*?-->", "''"), ("<![^>]*>", "''"), (rf"(?i)</?({_TAGS})(\s[^>]*)?/?>", NL), ("<[^>]*>", "''"), (r"\n\n\n+", f"{NL} || {NL}")):
+    _PAGE = f"regexp_replace({_PAGE}, '{_pattern}', {_by}, 'g')"
+for _entity, _by in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, '{_entity}', '{_by}')"
+_PAGE = f"trim({_PAGE}, {NL} || ' ' || chr(9) || chr(13))"
+
+
+def pages_query(name: str, config: Config, oracle: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
         return cell.transform(pages, config, "text", "out").select("id", "out")
 
-    add(name, run)
+    add(name, run, oracle and f"SELECT page_id AS id, {oracle} AS out FROM pages")
 
 
-pages_query("pages_strip_html", one("strip_html"))
+pages_query("pages_strip_html", one("strip_html"), _PAGE)
 pages_query("pages_html_to_markdown", one("html_to_markdown"))
 pages_query("pages_strip_markdown", Config((op("html_to_markdown"), op("strip_markdown")), "as_given"))
-pages_query("pages_default_pipeline", Config((op("strip_html"), op("collapse_whitespace"), op("trim_trailing_whitespace"))))
+pages_query("pages_default_pipeline", Config((op("strip_html"), op("collapse_whitespace"), op("trim_trailing_whitespace"))), rf"regexp_replace(regexp_replace({_PAGE}, '[ \t]+', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g')")
 
 _MENU = Config((op("change_case", case="lower"), op("sort_lines"), op("dedupe_lines"), op("remove_blank_lines"), op("trim_trailing_whitespace"), op("collapse_whitespace"), op("split_on", delimiter=", ")))
 cell_query(
