@@ -13,6 +13,7 @@ id and text columns are read.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import sys
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tokenizer_path
+from .common import release, sliced, tokenizer_path
 
-#: Code points below this one have had fixed categories and case pairs for decades, hence Python's
-#: own tables hold; a text with any other goes through the library's normaliser and splitter.
-PLAIN_LIMIT = 0x250
-CACHE_ENTRIES = 300_000
+#: Code points below this one have had fixed categories and case pairs (which stay below it, but
+#: for a combining dot) for decades, hence Python's own tables hold; a text with any other goes
+#: through the library's normaliser and splitter.
+PLAIN_LIMIT = 0x180
+
+#: Words whose ids are kept, by splitter.
+CACHE_ENTRIES = {"words": 120_000, "bytes": 250_000}
 
 
 def _class(test) -> str:
@@ -86,26 +90,47 @@ class ForcedBoundaryBPE(Vocabulary):
     """Encoder and decoder for one vocabulary file of the ``tokenizers`` library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        from tokenizers.models import BPE
-
         super().__init__(path)
+        self.path = path
         spec, model = self.spec, self.spec["model"]
-        self.library = Tokenizer.from_file(path)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.inner = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
-        self.last = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=self.suffix) if self.suffix else self.inner
-        self.split = SPLITTERS["words" if self.suffix else "bytes"]
+        kind = "words" if self.suffix else "bytes"
+        self.split = SPLITTERS[kind]
         self.piece = None if self.suffix else _by_rank(model["vocab"], merges)
         self.lower = bool(spec["normalizer"])
         self.alphabet = byte_alphabet()
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.inside = self._neighbours(model["vocab"])
-        del self.spec
-        self.words = _Cache(self._plain_word)
-        self.mapped = _Cache(self._word)
-        self.fragments = {True: _Cache(lambda x: self._fragment(self.last, x)), False: _Cache(lambda x: self._fragment(self.inner, x))}
+        del self.spec, spec, model, merges
+        self.words = _Cache(self._plain_word, CACHE_ENTRIES[kind])
+        self.mapped = _Cache(self._word, 20_000)
+        self.fragments = {True: _Cache(lambda x: self._fragment(self.last, x), 20_000), False: _Cache(lambda x: self._fragment(self.inner, x), 20_000)}
+
+    @functools.cached_property
+    def library(self):
+        """The library's own tokenizer, for texts beyond the plain ones."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _model(self, suffix: str | None):
+        from tokenizers.models import BPE
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
+        return BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **({"end_of_word_suffix": suffix} if suffix else {}))
+
+    @functools.cached_property
+    def inner(self):
+        """Merges of fragments that do not end a word."""
+        return self._model(None)
+
+    @functools.cached_property
+    def last(self):
+        """Merges of fragments that do."""
+        return self._model(self.suffix) if self.suffix else self.inner
 
     def _neighbours(self, vocab: dict[str, int]) -> dict[str, set[str]]:
         """For each character of the byte alphabet those that follow it inside some token: anywhere else the cut is certain."""
@@ -174,14 +199,14 @@ def _by_rank(vocab: dict[str, int], merges: list[tuple[str, str]]):
 class _Cache(dict):
     """A dict that fills itself and starts anew when it is full; long keys are not kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         out = self.make(key)
         if len(key) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = out
         return out
@@ -191,23 +216,17 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as native 32-bit integers, which must be little-endian")
 
 _LOADED: dict[tuple[type, str], Vocabulary] = {}
-#: Rows that are held as Python objects at once.
-SLICE_ROWS = 1000
 
 
 def codec(path: str, kind: type = ForcedBoundaryBPE):
     """One codec for each worker process and file; a worker that only decodes loads no more than the tokens."""
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
+        vars(_LOADED[kind, path]).pop("spec", None)
+        release()
     return _LOADED[kind, path]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens`` (long) and ``ids`` (binary: little-endian unsigned 32-bit ids) of each row.
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sliced
+
 WINDOW = 13
 MAX_INDEX_BYTES = 64 << 20
 #: Bytes of UTF-8 that make words once A-Z are lower: digits, a-z, and all of a character beyond ASCII.
@@ -64,7 +66,7 @@ def _frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = sent.value, Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(filter(known.__contains__, words_of(text)))
         if seen:
@@ -126,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [words_of(text) for text in batch.column(1).to_pylist()]
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
             items: list[set[str]] = [set() for _ in texts]
@@ -137,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     spans[k] = _merged(spans[k], s)
                     items[k] |= i
                 if len(blocks) > 1:
-                    del index, block._value  # one block in memory at a time; the next batch loads it from the worker's disk
+                    del index, block._value  # one block in memory at a time; the next slice loads it from the worker's disk
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

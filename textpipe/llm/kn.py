@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 K = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 Units = Callable[[str], np.ndarray]
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sliced, written
 from .kn import Model, count, sample
 
 ORDER = 4
@@ -76,7 +77,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Models from the labelled rows given; rows with a null text or language are left out."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("model")).where("text IS NOT NULL AND model IS NOT NULL")
     rows = sample(rows, "model", "id", max_docs)
-    rows = rows.withColumn("back", F.pmod(F.xxhash64(F.lit("held back"), "id"), F.lit(5)) == 0)
+    rows = written(rows.withColumn("back", F.pmod(F.xxhash64(F.lit("held back"), "id"), F.lit(5)) == 0), "labelled")
     names = sorted(r[0] for r in rows.select("model").distinct().toLocalIterator())
     model = Model(*count(rows.where("NOT back"), units, order, names), len(names), order, modified=False)
     means = [r for r in _entropies(rows.where("back"), model, names)]
@@ -93,7 +94,7 @@ def _entropies(rows: DataFrame, model: Model, names: list[str]) -> list[tuple[in
     sent, place = rows.sparkSession.sparkContext.broadcast(model), {k: i for i, k in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             which = [place[m] for m in batch.column(0).to_pylist()]
             coded = [units(t) if has_letter(t) else units(None) for t in batch.column(1).to_pylist()]
             sums = sent.value.score_many(coded)
@@ -109,7 +110,7 @@ def identify(docs: DataFrame, languages: Languages, text_col: str = "text", keep
     sent = docs.sparkSession.sparkContext.broadcast(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lang, score, entropy, reject = sent.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(reject, pa.bool_())], names=[*kept.names, "lang_pred", "score", "entropy", "rejected"])
 

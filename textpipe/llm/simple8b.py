@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec, sliced
-from .common import parallelism, shared_dir, tokenizer_path
+from .bpe import codec
+from .common import parallelism, shared_dir, sliced, tokenizer_path
 
 #: Ids in a word and bits of each, by selector 1 to 14; 15 is the escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
