@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WORD, parallelism, sliced, written
 from .components import components
@@ -283,7 +284,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meet = written(rows.repartition(parallelism(spark), "key").sortWithinPartitions("key", "content").mapInArrow(_meetings, "key long, content long"), "meetings")
     near = written(meet.where("key IS NOT NULL").distinct(), "near")
     candidates = written(meet.select("content").distinct(), "candidates")
-    seen = docs.mapInArrow(_occurrences(pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), f"content long, doc_id {kind}, row long, paragraph int, lead int, start int, end int, n_words int, between long, body string")
+    seen = docs.mapInArrow(_occurrences(to_arrow_type(docs.schema["doc_id"].dataType)), f"content long, doc_id {kind}, row long, paragraph int, lead int, start int, end int, n_words int, between long, body string")
     found = written(seen.join(candidates, "content", "left_semi"), "occurrences")
     roots = components(_links(near, found, max_group))
     here = found.drop("body").distinct().join(roots, found["content"] == roots["v"], "left").withColumn("class_id", F.coalesce("root", "content")).drop("v", "root", "content")
