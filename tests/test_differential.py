@@ -14,7 +14,7 @@ from textpipe.operators import cell, lines
 from textpipe.plans.config import SPECS, Config, op
 from textpipe.plans.planner import plan
 
-POOL = list("aB .,:@/[]()<>&;#?=-_*~`|\\\"'\t\r\n1") + ["ß", "İ", "Σ", "ﬁ", "é", " ", "\u0085", "\u001f", "̇", "🦀", "http://", "www.", "hxxp", "utm_a=1&", "a@b.c ", "1.2.3.4", "<p>", "</p>", "<b>", "&amp;", "<!--", "-->", "```", "- ", "1. ", "# ", "> ", "\n\n"]
+POOL = list("aB .,:@/[]()<>&;#?=-_*~`|\\\"'\t\r\n1") + ["ß", "İ", "Σ", "ﬁ", "é", " ", "\u0085", "\u001f", "̇", "🦀", "http://", "www.", "hxxp", "utm_a=1&", "a@b.c ", "1.2.3.4", "<p>", "</p>", "<b>", "&amp;", "<!--", "-->", "<script>", "</script>", "<STYLE x>", "</style >", "<a href=\"x\">", "</a>", "<br/>", "&copy;", "&AMP;", "<div title='", "<!DOCTYPE x>", "```", "- ", "1. ", "# ", "> ", "\n\n"]
 VARIANTS = {
     "change_case": [{"case": c} for c in ("upper", "lower", "title", "sentence")],
     "sort_lines": [{"descending": d, "case_insensitive": i} for d in (False, True) for i in (False, True)],

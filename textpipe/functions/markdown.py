@@ -140,8 +140,12 @@ class _Parser:
         return block
 
     def line(self, line: str) -> None:
-        depth, blank = 1, not line.strip(" \t")
         leaf = self.stack[-1]
+        if len(self.stack) <= 2 and leaf.kind in ("document", "paragraph") and line[:1].isalpha():
+            # No construct starts with a letter, and there is no container to go on.
+            (leaf if leaf.kind == "paragraph" else self.add(_Block("paragraph"))).lines.append(line)
+            return
+        depth, blank = 1, not line.strip(" \t")
         # Which containers go on?
         for block in self.stack[1:]:
             if block.kind == "quote":
@@ -569,7 +573,13 @@ def _inline_target(text: str, at: int) -> int | None:
 # ---------------------------------------------------------------- output
 
 
+_MARKS = re.compile(r"[\\`*_~\[\]<&]|  \n")
+
+
 def _inline(out: _Writer, text: str, definitions: set[str]) -> None:
+    if not _MARKS.search(text):
+        out.text(re.sub(" ?\n", " ", text))
+        return
     for kind, s in _Inline(text, definitions).pieces:
         if kind == "text":
             out.text(s)
