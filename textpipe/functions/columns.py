@@ -23,7 +23,8 @@ from .interpreter import BRACKETS, EDGE_PUNCTUATION, TRACKERS
 
 LINE_END = r"(?<!\r)\r*+\n"
 _BLANK = r"(?U)\A\s*+\z"
-_BETWEEN = r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)"
+#: A token with the white space before it, or what white space is left at the end.
+_PIECE = r"(?U)(\s*+\S++|\s++)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,9 +119,14 @@ def split_on(c: Column, delimiter: str) -> Column:
 # ---------------------------------------------------------------- case
 
 
-def _words(c: Column, change: Callable[[Column], Column]) -> Column:
-    """Each piece between white space and the rest changed; all else stays."""
-    return F.array_join(F.transform(F.split(c, _BETWEEN, -1), change), "")
+def _words(c: Column, change: Callable[[Column], Column], wanted: str | None = None) -> Column:
+    """Each token (of those that match ``wanted``) changed; all else, white space included, stays."""
+
+    def piece(p: Column) -> Column:
+        changed = let(F.regexp_replace(p, r"(?U)\A\s++", ""), lambda t: F.concat(F.left(p, F.length(p) - F.length(t)), change(t)))
+        return changed if wanted is None else F.when(p.rlike(wanted), changed).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(1)), piece), "")
 
 
 def title(c: Column) -> Column:
@@ -185,14 +191,13 @@ def core(t: Column) -> Column:
     return F.trim(t, F.lit(EDGE_PUNCTUATION))
 
 
-def _tokens(c: Column, wanted: str, change: Callable[[Column], Column]) -> Column:
-    """Cores of tokens that match ``wanted`` changed, the punctuation around them kept."""
+def _tokens(c: Column, wanted: str, change: Callable[[Column], Column], where: Column | None = None) -> Column:
+    """Cores of tokens that match ``wanted`` changed, the punctuation around them kept; texts that don't meet ``where`` (default: ``wanted``) stay."""
 
     def one(t: Column) -> Column:
-        parts = let(F.ltrim(t, F.lit(EDGE_PUNCTUATION)), lambda lt: let(core(t), lambda k: F.concat(F.left(t, F.length(t) - F.length(lt)), change(k), F.substr(lt, F.length(k) + 1))))
-        return F.when(t.rlike(wanted), parts).otherwise(t)
+        return let(F.ltrim(t, F.lit(EDGE_PUNCTUATION)), lambda lt: let(core(t), lambda k: F.concat(F.left(t, F.length(t) - F.length(lt)), change(k), F.substr(lt, F.length(k) + 1))))
 
-    return F.when(c.rlike(wanted), _words(c, one)).otherwise(c)
+    return F.when(c.rlike(wanted) if where is None else where, _words(c, one, wanted)).otherwise(c)
 
 
 def _extract(c: Column, test: Callable[[Column], Column], mark: str) -> Column:
@@ -260,7 +265,8 @@ def clean_urls(c: Column) -> Column:
         query = let(pairs, lambda q: F.when(F.size(q) > 0, F.concat(F.lit("?"), F.array_join(q, "&"))).otherwise(""))
         return F.when(is_url(k) & rest.contains("?"), F.concat(base, query, fragment)).otherwise(k)
 
-    return _tokens(c, r"(?s)(?:https?://|www\.).*\?", one)
+    # Anchored, and the cheap tests of the whole text apart: nothing scans to the end of a text from each url in it.
+    return _tokens(c, r"(?U)\A\s*+[<>()\[\]{},;:\"']*+(?:https?://|www\.)[^?]*+\?", one, c.contains("?") & c.rlike(r"https?://|www\."))
 
 
 # ---------------------------------------------------------------- markup
