@@ -18,7 +18,6 @@ from pyspark.sql.types import StringType
 
 from ..plans.config import Operation
 from . import interpreter
-from .html import BLOCK_TAGS, ENTITIES
 from .interpreter import BRACKETS, EDGE_PUNCTUATION, TRACKERS
 
 LINE_END = r"(?<!\r)\r*+\n"
@@ -288,36 +287,9 @@ def _edges(c: Column) -> Column:
     return F.trim(c, F.lit("\n \t\r"))
 
 
-_RAW = r"(?is)<!--.*?-->|<(script|style)(?![a-z0-9:_-])[^<>]*+>.*?</\1(?![a-z0-9:_-])[^>]*+>|<(?:!(?!--)|\?)[^>]*+>"
-_BLOCK = rf"(?i)</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?![a-z0-9:_-])[^<>]*+>"
-#: Where expressions and the parser might differ: an angle within a tag, comments that close at once, raw text closed in its own tag.
-_UNSURE = r"(?i)<[^<>]*+(?:<|\z)|<!--+>|<(?:script|style)(?![a-z0-9:_-])[^<>]*/\s*+>"
-_TRIPLE = "\n[ \t]*+\n[ \t]*+\n"
-
-
-def _named(c: Column) -> Column:
-    """Named character references; the ampersand last, so that nothing is decoded twice."""
-    out = F.replace(c, F.lit("&AMP;"), F.lit("&amp;"))
-    for name, value in ENTITIES.items():
-        if name not in ("AMP", "amp"):
-            out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return F.when(c.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(c)
-
-
 def strip_html(c: Column) -> Column:
-    """Expressions strip what is well formed: whole tags whose quotes are closed and hold no angle, no numeric references.
-
-    All else, and runs of blank lines with white space in them, goes to the parser.
-    """
-
-    def native(t: Column) -> Column:
-        open_quote = lambda x: F.regexp_replace(x, r'="[^"<>]*+"', "=").rlike(r"<[^<>\"']*+[\"']")
-        cut = let(F.regexp_replace(t, _RAW, ""), lambda x: F.when(open_quote(x) | x.rlike("(?i)<(?:script|style)(?![a-z0-9:_-])"), "<").otherwise(F.regexp_replace(F.regexp_replace(x, _BLOCK, "\n"), r"</?[A-Za-z][^<>]*+>", "")))
-        return let(cut, lambda x: F.when(~x.contains("<"), let(F.regexp_replace(x, r"\n{3,}+", "\n\n"), lambda y: F.when(~y.rlike(_TRIPLE), _edges(_named(y))))))
-
-    plain = ~c.rlike("[<&]") & ~c.rlike(_TRIPLE)
-    simple = F.when(plain, _edges(c)).when(~c.rlike(_UNSURE) & ~c.contains("&#"), native(c))
-    return F.coalesce(simple, _strip_html(F.when(simple.isNull(), c)))
+    # Expressions for whole tags were tried and are exact, but their many passes took longer than the parser.
+    return _gated(c, ~c.rlike("[<&]") & ~c.rlike("\n[ \t]*+\n[ \t]*+\n"), _edges(c), _strip_html)
 
 
 def is_plain_markdown(c: Column) -> Column:

@@ -13,6 +13,7 @@ MAX_INDENT = 4
 _NAME = re.compile(r"[A-Za-z0-9:_-]*")
 _ASCII_SPACE = re.compile(r"[ \t\n\x0c\r]*")
 _REST = re.compile(r"""(?:[^"'>]+|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+""")
+_WHOLE_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:_-]*+)((?:[^"'>]+|"[^"]*"|'[^']*')*+)>""")
 _ESCAPED = re.compile(r"([\\*_\[\]`|<>])")
 _PIECE = re.compile(f"[{WS}]+|[^{WS}]+")
 _ATTRIBUTE = re.compile(r"""([A-Za-z0-9:_-]+)[ \t\n\x0c\r]*(?:=[ \t\n\x0c\r]*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\x0c\r/]*))?""")
@@ -47,6 +48,9 @@ class _Tag:
 def _tag(text: str, at: int) -> _Tag | None:
     """What stands at a ``<``: a tag, something to drop (no name), or nothing."""
     n = len(text)
+    whole = _WHOLE_TAG.match(text, at)
+    if whole is not None:
+        return _Tag(whole.end(), whole[2], bool(whole[1]), whole[3], whole[3].rstrip(WS_CHARS).endswith("/"))
     if text.startswith("<!--", at):
         found = text.find("-->", at + 4)
         return _Tag(n if found < 0 else found + 3)

@@ -74,8 +74,8 @@ _NAME = re.compile(r"[A-Za-z0-9:_-]*")
 _SPACE = re.compile(f"[{WS}]*")
 # A tag's rest: quoted parts may hold ``>``; an open quote runs to the end of the text.
 _REST = re.compile(r"""(?:[^"'>]+|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+""")
-_TRAILING = re.compile(r"[ \t\n]*\Z")
 _TOKEN = re.compile(r"[<&\n]")
+_WHOLE_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:_-]*+)((?:[^"'>]+|"[^"]*"|'[^']*')*+)>""")
 #: How far back, in bytes, newlines are counted.
 LOOKBACK = 64
 EDGES = "\n \t\r"
@@ -86,16 +86,19 @@ class _Lines:
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.tail = ""
-
-    def add(self, s: str) -> None:
-        if s:
-            self.parts.append(s)
-            self.tail = (self.tail + s)[-LOOKBACK:] if len(s) < LOOKBACK else s[-LOOKBACK:]
 
     def newline(self) -> None:
-        if self.tail[_TRAILING.search(self.tail).start() :].count("\n") < 2:
-            self.add("\n")
+        """One more newline, unless two stand within the white space at the end (as far as one looks back)."""
+        seen = count = 0
+        for part in reversed(self.parts):
+            near = part[seen - LOOKBACK :]
+            kept = near.rstrip(" \t\n")
+            count += near.count("\n", len(kept))
+            seen += len(near) - len(kept)
+            if kept or count > 1 or seen >= LOOKBACK:
+                break
+        if count < 2:
+            self.parts.append("\n")
 
 
 def _after(text: str, what: str, at: int) -> int:
@@ -118,21 +121,34 @@ def _raw_end(text: str, at: int, name: str) -> int:
 def strip_html(text: str) -> str:
     """Text without tags, comments, scripts and styles; block tags become newlines, references characters."""
     out, at, n = _Lines(), 0, len(text)
+    add, search, whole = out.parts.append, _TOKEN.search, _WHOLE_TAG.match
     while at < n:
-        m = _TOKEN.search(text, at)
+        m = search(text, at)
         if m is None:
-            out.add(text[at:])
+            add(text[at:])
             break
-        out.add(text[at : m.start()])
-        at = m.start()
-        mark, follow = text[at], text[at + 1 : at + 2]
+        start = m.start()
+        if start > at:
+            add(text[at:start])
+        at = start
+        mark = text[at]
         if mark == "\n":
             out.newline()
             at += 1
-        elif mark == "&":
+            continue
+        if mark == "&":
             r = _REFERENCE.match(text, at)
-            out.add(_reference(r) if r else "&")
+            add(_reference(r) if r else "&")
             at = r.end() if r else at + 1
+            continue
+        tag = whole(text, at)
+        follow = text[at + 1 : at + 2]
+        if tag is not None:
+            name, at = tag[2].lower(), tag.end()
+            if name in BLOCK_TAGS:
+                out.newline()
+            elif name in ("script", "style") and not tag[1] and not tag[3].rstrip(WS_CHARS).endswith("/"):
+                at = _raw_end(text, at, name)
         elif follow == "!":
             at = _after(text, "-->", at + 2) if text.startswith("<!--", at) else _after(text, ">", at + 1)
         elif follow == "?":
@@ -143,16 +159,11 @@ def strip_html(text: str) -> str:
             if name[0].lower() in BLOCK_TAGS:
                 out.newline()
         elif follow.isascii() and follow.isalpha():
-            name = _NAME.match(text, at + 1)
-            rest = _REST.match(text, name.end())
-            at = min(n, rest.end() + 1)
-            tag = name[0].lower()
-            if tag in ("script", "style"):
-                if not (rest.end() < n and rest[0].rstrip(WS_CHARS).endswith("/")):
-                    at = _raw_end(text, at, tag)
-            elif tag in BLOCK_TAGS:
+            # The tag never ends: neither does what it hides.
+            if _NAME.match(text, at + 1)[0].lower() in BLOCK_TAGS:
                 out.newline()
+            at = n
         else:
-            out.add("<")
+            add("<")
             at += 1
     return "".join(out.parts).strip(EDGES)
