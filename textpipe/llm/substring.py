@@ -40,7 +40,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 4
 MIN_WORDS = 8
-MIN_RUN = 25
+MIN_RUN = 20
 #: Characters of a stretch beyond which it is cut at words; words after which it is cut at the latest; one in how many words cuts.
 LONG, FORCED, CUT_EVERY = 240, 48, 12
 MAX_GROUP = 500
