@@ -351,6 +351,44 @@ def test_planted_passages(spark):
     assert all(cut[i] == texts[i] for i in range(60) if i % 3 or i == 0)
 
 
+def test_short_lines_with_ends_within_sentences(spark):
+    """A passage that is all short lines, copied from within a line to within another, goes as a whole."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
+    verse = lambda n: "\n".join(" ".join(word() for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    passages, texts = [], []
+    for _ in range(20):
+        passage = verse(20)
+        # The passage's ends stand within lines: words of the host come right before and after.
+        passages.append(passage)
+        texts += [f"{verse(9)} {word()} {passage} {word()} {verse(9)}" for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = {r.doc_id: r.text for r in substring.cut(df, substring.duplicates(df)).collect()}
+    assert all(cut[2 * i] == texts[2 * i] for i in range(20))
+    for i, passage in enumerate(passages):
+        before, after = texts[2 * i + 1].split(passage)
+        assert cut[2 * i + 1].split() == (before + after).split()
+
+
+def test_runs_count_words_over_their_edges(spark):
+    """One whole sentence of 9 words within a stretch of 28 that both documents have: removed with its edges."""
+    a = "Alone here stand some words of the first one: north south east west up down left right now. Nine words make this very sentence in the middle. Then comes more of what both have got and after that only mine"
+    b = "Others tell of a journey and of rain, north south east west up down left right now. Nine words make this very sentence in the middle. Then comes more of what both have got while here it ends"
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    cut = {r.doc_id: r.text for r in substring.cut(df, substring.duplicates(df)).collect()}
+    assert cut == {1: a, 2: "Others tell of a journey and of rain, while here it ends"}
+
+
+def test_paragraphs_leave_no_words_out():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "bc", "def"]) + rng.choice([" ", "\n", ". ", "\n\n", "! ", " "]) for _ in range(rng.randrange(8, 300)))
+        spans, contents, _ = substring.paragraphs(text)
+        assert b" ".join(contents).split() == text.encode().split() and min(n for _, _, n in spans) >= substring.MIN_WORDS
+    spans, contents, _ = substring.paragraphs("same line\n" * 1000)
+    assert len(spans) > 200 and len(set(contents)) <= 3
+
+
 def test_without():
     assert substring.without("a b c", [(2, 3)]) == "a c"
     assert substring.without("a\nb\nc", [(2, 3)]) == "a\nc"

@@ -1,21 +1,25 @@
 """Substring deduplication: MinHash banding over short paragraphs, exact Jaccard, components.
 
 A text is cut into paragraphs where its content says so: at line ends, after sentence ends,
-and in long stretches without either after words whose hash says so.  The cuts depend on
-the words around them alone, so a passage is cut alike wherever it stands.  Paragraphs of
-fewer than ``MIN_WORDS`` words are too common to tell anything and are left out.
+and in long stretches without either after words whose hash says so.  Where cuts are fewer
+than ``MIN_WORDS`` words apart (short lines and sentences), the one with the least hash of
+the words beside it stays, so that every paragraph has ``MIN_WORDS`` words at least and no
+text is left out but texts that are shorter as a whole.  The cuts depend on the words around
+them alone, so a passage is cut alike wherever it stands.
 
 Each paragraph has ``BANDS`` bands of one MinHash over its 5-word shingles: at a similarity
 of 0.8 at least one agrees with probability 1 - 0.2^4 = 0.998.  First pass: bands with the
 content's hash are counted in each task and shuffled by band; bands under which two
 contents meet, and contents found twice, are candidates.  Second pass: occurrences of
-candidates are fetched.  Contents that meet under a band are verified by the exact Jaccard
+candidates are fetched; a bitmap of fixed size tells most others before they are shuffled.
+Third pass: the words beside the ends of runs are fetched.  Contents that meet under a band are verified by the exact Jaccard
 similarity of their shingles (0.8 or more); groups of more than ``MAX_GROUP`` contents are
 verified in pairs of blocks, so that no task holds more than two blocks and no link is lost.
 Components of verified links are classes of paragraphs; the first occurrence of a class (by
 document id) stays, with whatever its document repeats of itself.  Copies in other documents
-go if, with the ones right beside them, they make a run of at least ``MIN_RUN`` words, so
-that stock phrases in otherwise clean documents stay.
+make runs with the ones right beside them.  A run goes on over its ends, word by word, as
+far as the words beside it are those beside the paragraph that stays; it is cut out if all
+that has at least ``MIN_RUN`` words, so that stock phrases in otherwise clean documents stay.
 
 Null and empty texts have no paragraphs.  Rows with equal id and text count as one document;
 an empty table gives no rows.
@@ -44,6 +48,10 @@ MIN_RUN = 20
 #: Characters of a stretch beyond which it is cut at words; words after which it is cut at the latest; one in how many words cuts.
 LONG, FORCED, CUT_EVERY = 240, 48, 12
 MAX_GROUP = 500
+#: Words beyond the next paragraph on each side that a run may go on over: as many as a cut depends on.
+BEYOND = 10
+#: Bits of a map of what is looked for, and of each of its parts as Spark's functions make them; how far apart a text's paragraphs stand in it.
+BITMAP, PART, STEP = 1 << 27, 1 << 15, 7919
 #: Occurrences that a task of the first pass sums up before it sends them on.
 BUFFER = 400_000
 #: A mark of several characters ("!!") ends no sentence: shouted texts have one after each word.
@@ -57,14 +65,13 @@ _hash = xxhash.xxh64_intdigest
 
 
 def spans_of(text: str) -> Iterator[tuple[int, int]]:
-    """Where each paragraph that may have ``MIN_WORDS`` words starts and ends, in order."""
+    """Where each line, sentence or part of a long stretch starts and ends, in order."""
     at = 0
     for cut in [*_CUT.finditer(text), None]:
         end = cut.start() if cut else len(text)
         if end - at > LONG:
             yield from _cut_long(text, at, end)
-        elif end - at >= 2 * MIN_WORDS - 1:
-            # So many characters are needed for that many words.
+        elif end > at:
             yield at, end
         at = cut.end() if cut else end
 
@@ -79,17 +86,78 @@ def _cut_long(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
     yield start, end
 
 
-def paragraphs(text: str | None, hashed: bool = True) -> tuple[list[tuple[int, int, int]], list[bytes], np.ndarray]:
-    """Start, end and words of each paragraph; its normalised content; word hashes of all of them in a row."""
-    spans, contents, hashes = [], [], []
+def _cuts(words: list[bytes], ends: list[int]) -> list[int]:
+    """Those of ``ends`` (of pieces, as numbers of words) after which paragraphs end; the last always does."""
+    at, total = ends[:-1], ends[-1]
+    near = [False, *(b - a < MIN_WORDS for a, b in zip(at, at[1:])), False]
+    if True not in near:
+        kept = at
+    else:
+        kept = []
+        own = [_hash(b" ".join(words[max(0, e - 2) : e + 2])) if near[i] or near[i + 1] else 0 for i, e in enumerate(at)]
+        for i, e in enumerate(at):
+            j, least = i - 1, True
+            while least and j >= 0 and e - at[j] < MIN_WORDS:
+                least = own[i] < own[j]
+                j -= 1
+            j = i + 1
+            while least and j < len(at) and at[j] - e < MIN_WORDS:
+                least = own[i] <= own[j]
+                j += 1
+            if least:
+                kept.append(e)
+    kept = [e for e in kept if MIN_WORDS <= e <= total - MIN_WORDS]
+    if True not in near:
+        return [*kept, total]
+    # Equal lines in a row have no least hash: what gets too long of them is cut as soon as it may be.
+    out, last, i = [], 0, 0
+    for cut in [*kept, total]:
+        long = cut - last > FORCED
+        while i < len(at) and at[i] < cut:
+            if long and at[i] - last >= MIN_WORDS and cut - at[i] >= MIN_WORDS:
+                out.append(at[i])
+                last = at[i]
+            i += 1
+        out.append(cut)
+        last = cut
+    return out
+
+
+def _parts(text: str | None) -> tuple[list[tuple[int, int, int]], list[bytes]]:
+    """Start, end and words of each paragraph; the lower-cased words of all of them in a row."""
+    words: list[bytes] = []
+    starts, stops, ends = [], [], []
     for start, end in spans_of(text) if text else ():
-        words = text[start:end].encode("utf-8", "replace").lower().split()
-        if len(words) >= MIN_WORDS:
-            spans.append((start, end, len(words)))
-            contents.append(b" ".join(words))
-            if hashed:
-                hashes.extend(map(_hash, words))
-    return spans, contents, np.array(hashes, dtype=np.uint64)
+        more = text[start:end].encode("utf-8", "replace").lower().split()
+        if more:
+            words += more
+            starts.append(start)
+            stops.append(end)
+            ends.append(len(words))
+    if len(words) < MIN_WORDS:
+        return [], []
+    spans, k, last = [], 0, 0
+    for cut in _cuts(words, ends):
+        first = k
+        while ends[k] < cut:
+            k += 1
+        spans.append((starts[first], stops[k], cut - last))
+        k, last = k + 1, cut
+    return spans, words
+
+
+def _contents(spans: list[tuple[int, int, int]], words: list[bytes]) -> list[bytes]:
+    out, at = [], 0
+    for _, _, n in spans:
+        out.append(b" ".join(words[at : at + n]))
+        at += n
+    return out
+
+
+def paragraphs(text: str | None) -> tuple[list[tuple[int, int, int]], list[bytes], np.ndarray]:
+    """Start, end and words of each paragraph; its normalised content; word hashes of all of them in a row."""
+    spans, words = _parts(text)
+    return spans, _contents(spans, words), np.array(list(map(_hash, words)), dtype=np.uint64)
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -188,28 +256,115 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _occurrences(kind: pa.DataType):
-    names = ["content", "doc_id", "row", "paragraph", "lead", "start", "end", "n_words", "between", "body"]
-    types = [pa.int64(), kind, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """A bit for each of ``place`` (0 to ``BITMAP``); others may share it.  Its size is fixed."""
+    parts = places.select(F.shiftright("place", PART.bit_length() - 1).alias("part"), F.pmod("place", F.lit(PART)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(BITMAP // 8, dtype=np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
+def _in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at & np.uint64(BITMAP - 1)
+    return np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def _beside(words: list[bytes], places: list[int]) -> bytes:
+    """Words as hashes of 32 bits, each with the place where it has its far end."""
+    return np.array([list(map(xxhash.xxh32_intdigest, words)), places], dtype=np.uint32).tobytes()
+
+
+def _agree(a: bytes, b: bytes) -> tuple[int, int]:
+    """How many words two sides begin with alike, and the place in ``a`` that the last of them reaches to."""
+    x, y = (np.frombuffer(side, dtype=np.uint32).reshape(2, -1) for side in (a, b))
+    n = min(x.shape[1], y.shape[1])
+    differ = np.flatnonzero(x[0, :n] != y[0, :n])
+    n = int(differ[0]) if len(differ) else n
+    return n, int(x[1, n - 1]) if n else -1
+
+
+def _occurrences(kind: pa.DataType, sent):
+    names = ["content", "doc_id", "row", "paragraph", "start", "end", "n_words", "body"]
+    types = [pa.int64(), kind, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``lead`` and ``between``: end of the paragraph before, and a hash of what stands from there (short sentences)."""
+        """Paragraphs that may be candidates."""
+        bits = sent.value
         for batch in sliced(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans, contents, _ = paragraphs(text, hashed=False)
-                row = _row_hash(text) if spans else 0
-                lead = 0
-                for k, ((start, end, n), content) in enumerate(zip(spans, contents)):
-                    between = _hash(b" ".join(text[lead:start].encode("utf-8", "replace").lower().split()))
-                    rows.append((_signed(_hash(content)), doc, row, k, lead, start, end, n, _signed(between), content.decode("utf-8", "replace")))
-                    lead = end
+                spans, words = _parts(text)
+                contents = _contents(spans, words)
+                own = np.array(list(map(_hash, contents)), dtype=np.uint64)
+                wanted = _in(bits, own).tolist()
+                row = _row_hash(text) if wanted else 0
+                for k in wanted:
+                    rows.append((_signed(int(own[k])), doc, row, k, *spans[k], contents[k].decode("utf-8", "replace")))
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
 
 
+def _sides(sent):
+    """``row, paragraph, left, right`` of the paragraphs that may be asked for: the words before, from the last, and after."""
+    names = ["row", "paragraph", "left", "right"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in sliced(batches):
+            rows: dict[tuple[int, int], tuple] = {}
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                row = _row_hash(text)
+                at = row % BITMAP
+                if not bits[at >> 3] >> (at & 7) & 1:
+                    continue
+                spans, words = _parts(text)
+                wanted = _in(bits, np.uint64(at) + np.arange(1, len(spans) + 1, dtype=np.uint64) * np.uint64(STEP)).tolist()
+                ends = np.cumsum([n for _, _, n in spans]).tolist()
+                found = [w.span() for w in _WORD.finditer(text)] if wanted else []
+                for k in wanted:
+                    b = ends[k]
+                    a = b - spans[k][2]
+                    far = max(0, a - (spans[k - 1][2] if k else 0) - BEYOND)
+                    left = _beside(words[far:a][::-1], [p for p, _ in found[far:a]][::-1])
+                    far = b + (spans[k + 1][2] if k + 1 < len(spans) else 0) + BEYOND
+                    rows[row, k] = row, k, left, _beside(words[b:far], [p for _, p in found[b:far]])
+            columns = zip(*rows.values()) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return run
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last four columns (own and kept words to the left and right) become how many agree, and how far those reach."""
+    for batch in batches:
+        rows = [(*_agree(a, c), *_agree(b, d)) for a, b, c, d in zip(*(x.to_pylist() for x in batch.columns[-4:]))]
+        more = zip(*rows) if rows else [[] for _ in range(4)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *(pa.array(c, pa.int32()) for c in more)], names=[*batch.schema.names[:-4], "n_left", "from", "n_right", "to"])
+
+
+def _extensions(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """For ``row, paragraph`` and the place of the one that stays: how many words beside both agree, and how far they reach."""
+    kept = edges.select(F.col("kept_row").alias("row"), F.col("kept_paragraph").alias("paragraph"))
+    places = edges.select("row", "paragraph").union(kept).distinct()
+    at = F.pmod("row", F.lit(BITMAP))
+    places = places.select(F.explode(F.array(at, F.pmod(at + (F.col("paragraph").cast("long") + 1) * STEP, F.lit(BITMAP)))).alias("place"))
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(places))
+    # Equal texts have equal sides: one row for all of them.
+    sides = docs.select("text").mapInArrow(_sides(sent), "row long, paragraph int, left binary, right binary")
+    sides = written(sides.groupBy("row", "paragraph").agg(F.first("left").alias("left"), F.first("right").alias("right")), "sides")
+    sent.destroy()
+    others = sides.toDF("kept_row", "kept_paragraph", "kept_left", "kept_right")
+    both = edges.join(sides, ["row", "paragraph"]).join(others, ["kept_row", "kept_paragraph"])
+    both = both.select("row", "paragraph", "kept_row", "kept_paragraph", "left", "right", "kept_left", "kept_right")
+    return written(both.mapInArrow(_agreeing, "row long, paragraph int, kept_row long, kept_paragraph int, n_left int, from int, n_right int, to int"), "extensions")
+
+
 def _jaccard(a: frozenset, b: frozenset) -> bool:
     small, large = (a, b) if len(a) < len(b) else (b, a)
     if len(small) < SIMILARITY * len(large):
@@ -275,7 +430,7 @@ def _links(near: DataFrame, found: DataFrame, max_group: int) -> DataFrame:
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, max_group: int = MAX_GROUP) -> DataFrame:
     """One row for each paragraph whose class has another: ``doc_id, row, paragraph, start, end, n_words, class_id, class_size, keeper_id, removed``.
 
-    ``start`` and ``end`` are character places in the text, ``keeper_id`` is the document whose paragraph stays.
+    ``start`` and ``end`` are character places in the text; at the ends of a removed run they take in the words beside it that go too.  ``keeper_id`` is the document whose paragraph stays.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
@@ -284,12 +439,14 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meet = written(rows.repartition(parallelism(spark), "key").sortWithinPartitions("key", "content").mapInArrow(_meetings, "key long, content long"), "meetings")
     near = written(meet.where("key IS NOT NULL").distinct(), "near")
     candidates = written(meet.select("content").distinct(), "candidates")
-    seen = docs.mapInArrow(_occurrences(to_arrow_type(docs.schema["doc_id"].dataType)), f"content long, doc_id {kind}, row long, paragraph int, lead int, start int, end int, n_words int, between long, body string")
+    sent = spark.sparkContext.broadcast(_bitmap(candidates.select(F.pmod("content", F.lit(BITMAP)).alias("place"))))
+    seen = docs.mapInArrow(_occurrences(to_arrow_type(docs.schema["doc_id"].dataType), sent), f"content long, doc_id {kind}, row long, paragraph int, start int, end int, n_words int, body string")
     found = written(seen.join(candidates, "content", "left_semi"), "occurrences")
+    sent.destroy()
     roots = components(_links(near, found, max_group))
     here = found.drop("body").distinct().join(roots, found["content"] == roots["v"], "left").withColumn("class_id", F.coalesce("root", "content")).drop("v", "root", "content")
     here = written(here, "classes")
-    first = F.min(F.struct("doc_id", "row", "paragraph", "between")).alias("keeper")
+    first = F.min(F.struct("doc_id", "row", "paragraph")).alias("keeper")
     keepers = written(here.groupBy("class_id").agg(first, F.count("*").alias("class_size")).where("class_size > 1"), "keepers")
     # What a document repeats of itself stays: a copy is one of another document's paragraph.
     own = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("row") == F.col("keeper.row"))
@@ -298,11 +455,16 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = Window.partitionBy("doc_id", "row", "copy").orderBy("paragraph")
     runs = here.withColumn("run", F.col("paragraph") - F.row_number().over(order))
     run = Window.partitionBy("doc_id", "row", "copy", "run")
-    runs = runs.withColumn("removed", F.col("copy") & (F.sum("n_words").over(run) >= min_run))
-    # Short sentences between two removed paragraphs, or before a first one, go too if they are those of the paragraph that stays.
-    joined = (F.col("between") == F.col("keeper.between")) & ((F.col("paragraph") == 0) | (F.col("paragraph") > F.min("paragraph").over(run)))
-    start = F.when(F.col("removed") & joined, F.col("lead")).otherwise(F.col("start"))
-    return runs.select("doc_id", "row", "paragraph", start.alias("start"), "end", "n_words", "class_id", "class_size", F.col("keeper.doc_id").alias("keeper_id"), "removed")
+    runs = runs.withColumn("first", F.col("paragraph") == F.min("paragraph").over(run)).withColumn("last", F.col("paragraph") == F.max("paragraph").over(run))
+    runs = written(runs.select("*", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.row").alias("kept_row"), F.col("keeper.paragraph").alias("kept_paragraph")).drop("keeper"), "runs")
+    places = ["row", "paragraph", "kept_row", "kept_paragraph"]
+    edges = written(runs.where("copy AND (first OR last)").select(places).distinct(), "edges")
+    runs = runs.join(_extensions(docs, edges), places, "left")
+    whole = F.col("n_words") + F.when(F.col("first"), F.coalesce("n_left", F.lit(0))).otherwise(0) + F.when(F.col("last"), F.coalesce("n_right", F.lit(0))).otherwise(0)
+    runs = runs.withColumn("removed", F.col("copy") & (F.sum(whole).over(run) >= min_run))
+    start = F.when(F.col("removed") & F.col("first") & (F.col("n_left") > 0), F.col("from")).otherwise(F.col("start"))
+    end = F.when(F.col("removed") & F.col("last") & (F.col("n_right") > 0), F.col("to")).otherwise(F.col("end"))
+    return runs.select("doc_id", "row", "paragraph", start.alias("start"), end.alias("end"), "n_words", "class_id", "class_size", "keeper_id", "removed")
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
