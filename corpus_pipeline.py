@@ -22,10 +22,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near copies one row stays, the one with the smallest id (null ids come last).
+
+    A row is told by its id and its text's hash: other texts under the same or a null id are other documents.
+    """
+    keys = ["no_id", "id", "hash"]
+    docs = docs.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "hash": F.xxhash64("text")})
+    found = simhash.near_duplicates(docs.select(F.struct("no_id", "doc_id", "hash", "id").alias("key"), "text"), id_col="key")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[F.col(f"doc_id.{k}").alias(k) for k in keys]).distinct()
+    return docs.join(kept, keys, "left_semi").dropDuplicates(keys).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,15 @@ def test_stages(spark, tmp_path):
     assert whole == {r.doc_id: r.ids_sha256 for r in docs.collect()}
 
 
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    """Unrelated texts under a null or shared id stay; of near copies one row stays whatever the ids."""
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (8, text("d")), (5, text("e")), (7, text("e")), (None, text("e"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.text, r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect())
+    assert got == [(text("a"), None), (text("b"), None), (text("c"), 7), (text("d"), 7), (text("e"), 5)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "123 456", "en", "s", 7), (4, "plain words of some text", "en", "s", 3), (4, "plain words of some text", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
