@@ -451,3 +451,22 @@ def test_op9_separates_trusted_from_junk(spark):
     good = [got[d].kept for d, m in marks.items() if m.quality == 1 and not m.toxic]
     bad = [got[d].kept for d, m in marks.items() if m.quality == 0]
     assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.4 * len(bad)
+
+
+def test_rare_languages_reject_foreign_texts(spark):
+    """A language of ten documents is no door for texts of others, and keeps its own."""
+    rng = random.Random(6)
+
+    def speaker(letters):
+        words = ["".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(60)]
+        return lambda: " ".join(rng.choices(words, k=120))
+
+    common, rare, single, foreign = speaker("abcdefgh"), speaker("ijklmnop"), speaker("qrstuvwx"), speaker("абвгдежз")
+    rows = [(i, common(), "aa") for i in range(100)] + [(200 + i, rare(), "bb") for i in range(10)] + [(300, single(), "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages = langid.train(docs)
+    assert np.isfinite(languages.limits).all()
+    assert not any(languages.predict([rare() for _ in range(5)])[3]) and all(languages.predict([foreign() for _ in range(5)])[3])
+    trusted = perplexity.train(docs, spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int"))
+    assert np.isfinite(trusted.limits).all()
+    assert all(trusted.judge(["bb"] * 5, [rare() for _ in range(5)])[3]) and not any(trusted.judge(["bb"] * 5, [foreign() for _ in range(5)])[3])

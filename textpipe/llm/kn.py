@@ -15,9 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 K = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SLICE = 1 << 18
@@ -93,6 +95,24 @@ def count(rows: DataFrame, units: Units, order: int, keys: list[str]) -> tuple[n
     return np.frombuffer(raw, dtype=np.uint64).reshape(-1, order), got.column("model").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.int64)
 
 
+#: Held-back documents that a language's limits need; folds in which languages with fewer are scored.
+FEW, FOLDS = 5, 5
+
+
+def left_out(rows: DataFrame, rare: list[str], id_col: str) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For languages of few documents: rows to learn from and rows to score, such that each document is scored once by the others.
+
+    A language with one document has no others and is left out.
+    """
+    if not rare:
+        return
+    own = Window.partitionBy("model")
+    rows = rows.where(F.col("model").isin(rare)).withColumn("of", F.count("*").over(own)).where("of > 1")
+    rows = written(rows.withColumn("fold", F.row_number().over(own.orderBy(F.xxhash64(F.lit("fold"), id_col), "text")) % FOLDS), "folds")
+    for k in range(FOLDS):
+        yield rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+
+
 def _hash(grams: np.ndarray) -> np.ndarray:
     out = np.zeros(len(grams), dtype=np.uint64)
     for j in range(grams.shape[1]):

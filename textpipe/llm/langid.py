@@ -5,7 +5,11 @@ rows name, all in common sorted hash arrays (:mod:`.kn`).  A text gets the langu
 model gives the lowest cross-entropy per character.  The models learn from at most about
 ``max_docs`` labelled documents of each language, chosen by a hash of the id; a fifth of
 the sample is held back, and a text is rejected if its cross-entropy is above all that the
-held-back documents of the language make likely.
+held-back documents of the language make likely.  A language with fewer than five of these
+is calibrated by scores of its documents under models of its others, and where these are
+fewer than five as well, with the spread of the other languages; a language of a single
+document gets the median limit of the others.  Only where no language has two documents
+is there nothing to calibrate by, and nothing is rejected for its score.
 
 Null texts and texts without a letter are ``und`` with score 0 and are rejected.  Without
 any labelled row nothing is learned and every text is ``und``.  Repeated rows get equal
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import sliced, written
-from .kn import Model, count, sample
+from .kn import FEW, Model, count, left_out, sample
 
 ORDER = 4
 MAX_DOCS = 300
@@ -81,12 +85,31 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     names = sorted(r[0] for r in rows.select("model").distinct().toLocalIterator())
     model = Model(*count(rows.where("NOT back"), units, order, names), len(names), order, modified=False)
     means = [r for r in _entropies(rows.where("back"), model, names)]
-    limits = np.full(len(names), np.inf)
-    for i in range(len(names)):
-        mine = np.array([h for k, h in means if k == i])
-        if len(mine) >= 5:
+    each = [[h for k, h in means if k == i] for i in range(len(names))]
+    rare = [i for i in range(len(names)) if len(each[i]) < FEW]
+    for i in rare:
+        each[i] = []
+    for learnt, scored in left_out(rows, [names[i] for i in rare], "id"):
+        for i, h in _entropies(scored, Model(*count(learnt, units, order, names), len(names), order, modified=False), names):
+            each[i].append(h)
+    return Languages(names, model, _limits(each))
+
+
+def _limits(each: list[list[float]]) -> np.ndarray:
+    """The limit of each language from its documents' cross-entropies, those of few from the spread of the others."""
+    limits, ratios = np.full(len(each), np.inf), []
+    for i, mine in enumerate(map(np.array, each)):
+        if len(mine) >= FEW:
             limits[i] = max(mine.mean() + REJECT_SD * mine.std(), REJECT_RATIO * mine.mean(), 1.05 * mine.max())
-    return Languages(names, model, limits)
+            ratios.append(limits[i] / mine.mean())
+    ratio = float(np.median(ratios)) if ratios else REJECT_RATIO
+    for i, mine in enumerate(map(np.array, each)):
+        if 0 < len(mine) < FEW:
+            limits[i] = max(ratio * mine.mean(), 1.05 * mine.max())
+    known = limits[np.isfinite(limits)]
+    if len(known):
+        limits[~np.isfinite(limits)] = np.median(known)
+    return limits
 
 
 def _entropies(rows: DataFrame, model: Model, names: list[str]) -> list[tuple[int, float]]:
