@@ -275,126 +275,6 @@ def test_op5(spark):
     assert sorted((r.page_id, r.verdict) for r in one) == [(1, "block"), (2, "block"), (2, "block")]
 
 
-# ---------------------------------------------------------------- 7: passages
-
-
-def test_op7_classes_against_brute_force(odd, documents):
-    for df in (odd.where("doc_id IS NOT NULL"), documents):
-        places, sets = {}, {}
-        for doc, text in set(pairs(df)):
-            spans, contents, _ = substring.paragraphs(text)
-            for k, content in enumerate(contents):
-                places.setdefault(content, []).append((doc, text, k))
-        for c in places:
-            w = c.split()
-            sets[c] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-        keys, root = list(places), {}
-
-        def find(c):
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
-
-        holders = collections.defaultdict(set)
-        for c in keys:
-            for s in sets[c]:
-                holders[s].add(c)
-        missed = total = 0
-        links = []
-        for c in keys:
-            for other in set().union(*[holders[s] for s in sets[c]]) if sets[c] else ():
-                if other < c and len(sets[c] & sets[other]) >= 0.8 * len(sets[c] | sets[other]):
-                    links.append((c, other))
-                    root[find(c)] = find(other)
-        expected = collections.defaultdict(set)
-        for c in keys:
-            expected[find(c)].update((d, k) for d, _, k in places[c])
-        expected = sorted(sorted(v) for v in expected.values() if len(v) > 1)
-        got = collections.defaultdict(set)
-        for r in substring.duplicates(df).collect():
-            got[r.class_id].add((r.doc_id, r.paragraph))
-        got = sorted(sorted(v) for v in got.values())
-        missed, total = sum(len(v) for v in expected if v not in got), sum(map(len, expected))
-        # Banding finds a link of similarity 0.8 with probability 0.998.
-        assert missed <= 0.02 * total
-
-
-@pytest.mark.parametrize("most", [500, 3])
-def test_large_groups_are_verified_in_blocks(spark, most):
-    words = [f"w{i}" for i in range(40)]
-    texts = [" ".join(words[:-1] + [f"end{i}"]) for i in range(40)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = substring.duplicates(df, max_group=most).collect()
-    assert len({r.class_id for r in rows}) == 1 and len(rows) == 40
-    assert sorted(r.doc_id for r in rows if r.removed) == list(range(1, 40)) and {r.keeper_id for r in rows} == {0}
-
-
-def test_planted_passages(spark):
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
-    sentence = lambda: (" ".join(word() for _ in range(rng.randrange(6, 16))) + ".").capitalize()
-    passage = " ".join(sentence() for _ in range(9))
-    texts = []
-    for i in range(60):
-        host = [sentence() for _ in range(12)]
-        if i % 3 == 0:
-            at = rng.randrange(1, 11)
-            host[at] = host[at].replace(" ", f" {passage} ", 1)
-        texts.append(" ".join(host))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = substring.duplicates(df)
-    assert {r.doc_id for r in found.collect()} == {i for i in range(60) if i % 3 == 0}
-    cut = {r.doc_id: r.text for r in substring.cut(df, found).collect()}
-    assert len(cut) == 60
-    inner = ". ".join(passage.split(". ")[1:-1])
-    assert [i for i in range(60) if inner in cut[i]] == [0]
-    assert all(cut[i] == texts[i] for i in range(60) if i % 3 or i == 0)
-
-
-def test_short_lines_with_ends_within_sentences(spark):
-    """A passage that is all short lines, copied from within a line to within another, goes as a whole."""
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9)))
-    verse = lambda n: "\n".join(" ".join(word() for _ in range(rng.randrange(2, 6))) for _ in range(n))
-    passages, texts = [], []
-    for _ in range(20):
-        passage = verse(20)
-        # The passage's ends stand within lines: words of the host come right before and after.
-        passages.append(passage)
-        texts += [f"{verse(9)} {word()} {passage} {word()} {verse(9)}" for _ in range(2)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    cut = {r.doc_id: r.text for r in substring.cut(df, substring.duplicates(df)).collect()}
-    assert all(cut[2 * i] == texts[2 * i] for i in range(20))
-    for i, passage in enumerate(passages):
-        before, after = texts[2 * i + 1].split(passage)
-        assert cut[2 * i + 1].split() == (before + after).split()
-
-
-def test_runs_count_words_over_their_edges(spark):
-    """One whole sentence of 9 words within a stretch of 28 that both documents have: removed with its edges."""
-    a = "Alone here stand some words of the first one: north south east west up down left right now. Nine words make this very sentence in the middle. Then comes more of what both have got and after that only mine"
-    b = "Others tell of a journey and of rain, north south east west up down left right now. Nine words make this very sentence in the middle. Then comes more of what both have got while here it ends"
-    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
-    cut = {r.doc_id: r.text for r in substring.cut(df, substring.duplicates(df)).collect()}
-    assert cut == {1: a, 2: "Others tell of a journey and of rain, while here it ends"}
-
-
-def test_paragraphs_leave_no_words_out():
-    rng = random.Random(8)
-    for _ in range(200):
-        text = "".join(rng.choice(["a", "bc", "def"]) + rng.choice([" ", "\n", ". ", "\n\n", "! ", " "]) for _ in range(rng.randrange(8, 300)))
-        spans, contents, _ = substring.paragraphs(text)
-        assert b" ".join(contents).split() == text.encode().split() and min(n for _, _, n in spans) >= substring.MIN_WORDS
-    spans, contents, _ = substring.paragraphs("same line\n" * 1000)
-    assert len(spans) > 200 and len(set(contents)) <= 3
-
-
-def test_without():
-    assert substring.without("a b c", [(2, 3)]) == "a c"
-    assert substring.without("a\nb\nc", [(2, 3)]) == "a\nc"
-    assert substring.without("ab", [(0, 2)]) == ""
-
-
 # ---------------------------------------------------------------- 9, 10: models
 
 

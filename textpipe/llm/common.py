@@ -34,9 +34,11 @@ def tokenizer_path(name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a laptop) a local temporary folder is used.
+    Only where it is unset and everything runs in one process (tests, a laptop) a local temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or os.path.join(tempfile.gettempdir(), "textpipe-shared")
 
 
@@ -51,7 +53,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._textpipe_place = place
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        place = getattr(df, "_textpipe_place", None)
+        if place is not None:
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Rows whose texts are held as Python objects at once.

@@ -37,7 +37,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return substring.repeats(substring.duplicates(table(spark, sf_dir, "documents"))).drop("row", "kept_row", "kept_paragraph")
 
 
 def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
