@@ -166,12 +166,47 @@ def test_empty_and_null(spark, odd):
     assert {(r.lang_pred, r.score) for r in langid.predictions(unlabelled).collect()} == {("und", 0.0)}
 
 
-def test_decontamination_in_blocks(odd, spark):
-    """A bound that makes each item a block of its own changes nothing."""
+def plain_contamination(text, items):
+    """Words, hit words and hit items of a text."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words = split(text)
+    places = collections.defaultdict(list)
+    for size in range(1, 14):
+        for i in range(len(words) - size + 1):
+            places[tuple(words[i : i + size])].append(i)
+    hit, found = set(), set()
+    for item, other in items:
+        other = split(other)
+        size = min(13, len(other))
+        for i in range(len(other) - size + 1) if size else ():
+            for at in places.get(tuple(other[i : i + size]), ()):
+                hit.update(range(at, at + size))
+                found.add(item)
+    return len(words), len(hit), sorted(str(i) for i in found if i is not None)
+
+
+@pytest.mark.parametrize("bits", [1 << 24, 1 << 15])
+def test_decontamination(odd, spark, monkeypatch, bits):
+    """Null, short, empty, equal and repeated items; null and shared ids of documents; maps that tell nearly nothing."""
+    monkeypatch.setattr(decontaminate, "RARITY_BITS", bits)
+    if bits == 1 << 15:
+        from textpipe.llm import bitmaps
+
+        monkeypatch.setattr(decontaminate, "bitmap", lambda df, column, size=bits: bitmaps.bitmap(df, column, min(size, bits)))
     text = odd.where("doc_id = 20").first().text.split()
-    items = spark.createDataFrame([(i, " ".join(text[i : i + 20])) for i in range(0, 40, 7)] + [(99, "alpha")], "item_id long, text string")
-    rows = lambda df: sorted(map(str, df.collect()))
-    assert rows(decontaminate.contamination(odd, items)) == rows(decontaminate.contamination(odd, items, max_index_bytes=1))
+    items = [(i, " ".join(text[i : i + 20])) for i in range(0, 40, 7)] + [(99, "Alpha"), (98, "theta alpha"), (98, "mu nu"), (None, "kappa kappa"), (97, ""), (96, None), (95, " ".join(text[3:30])), (95, " ".join(text[3:30])), (94, "no such words")]
+    rows = pairs(odd) + [(None, text and " ".join(text)), (7, "ALPHA-alpha ist über"), (7, "ALPHA-alpha ist über")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r["items"], sum(b - a for a, b in r.spans), r.contaminated) for r in decontaminate.contamination(docs, benchmark).collect())
+    expected = []
+    for doc, text in rows:
+        n, hit, found = plain_contamination(text, items)
+        expected.append((str(doc), n, hit, len(found), found, hit, bool(hit) and 20 * hit >= n))
+    assert got == sorted(expected) and any(r[2] for r in got)
+    extra = docs.selectExpr("doc_id", "text", "1 AS n_words", "'x' AS key", "2 AS text_hash")
+    kept = decontaminate.clean(extra, benchmark)
+    assert kept.columns == extra.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(e[0] for e in expected if not e[-1])
 
 
 def test_ledger(spark, documents):

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textpipe.llm import paragraphs, substring
+from textpipe.llm import paragraphs, substring, words
+from textpipe.llm.words import text_hash
 
 DATA = os.environ.get("TEXTPIPE_DATA", "/root/testdata/sf0.001")
 
@@ -16,7 +17,7 @@ DATA = os.environ.get("TEXTPIPE_DATA", "/root/testdata/sf0.001")
 def plain(text):
     """First word and words of each paragraph of a text, and its words."""
     p = paragraphs.Parsed(pa.array([text or ""]))
-    return [(int(f), tuple(p.spell(k))) for k, f in enumerate(p.first)], (text or "").encode().lower().split()
+    return [(int(f), tuple(p.spell(int(f), int(p.count[k])).split())) for k, f in enumerate(p.first)], (text or "").encode().lower().split()
 
 
 def similar(a, b):
@@ -25,11 +26,11 @@ def similar(a, b):
 
 def expected_rows(rows):
     """Rows by document of equal id and text: class, keeper and removal of each paragraph that has another."""
-    docs = sorted({(d is not None, d or 0, substring._row_hash(pa.scalar(t)), t) for d, t in rows if t})
+    docs = sorted({(d is not None, d or 0, text_hash(pa.scalar(t)), t) for d, t in rows if t})
     places = collections.defaultdict(list)
-    words = {}
+    spoken = {}
     for known, d, row, text in docs:
-        found, words[known, d, row] = plain(text)
+        found, spoken[known, d, row] = plain(text)
         for k, (first, w) in enumerate(found):
             places[w].append((known, d, row, k, first))
     root = {c: c for c in places}
@@ -68,12 +69,12 @@ def expected_rows(rows):
                 high += 1
             run = [copies[x[0], x[1], x[2], k] for k in range(low, high + 1)]
             n = sum(r[0][5] for r in run)
-            own = words[x[:3]]
+            own = spoken[x[:3]]
             (first, kept, _), (last, kept_last, _) = run[0], run[-1]
-            other, i, j = words[kept[:3]], first[4] - 1, kept[4] - 1
+            other, i, j = spoken[kept[:3]], first[4] - 1, kept[4] - 1
             while i >= 0 and j >= 0 and own[i] == other[j]:
                 n, i, j = n + 1, i - 1, j - 1
-            other, i, j = words[kept_last[:3]], last[4] + last[5], kept_last[4] + kept_last[5]
+            other, i, j = spoken[kept_last[:3]], last[4] + last[5], kept_last[4] + kept_last[5]
             while i < len(own) and j < len(other) and own[i] == other[j]:
                 n, i, j = n + 1, i + 1, j + 1
             removed = n >= substring.MIN_RUN
@@ -255,7 +256,7 @@ def test_batches_do_not_matter():
     """A text's paragraphs are the same in any company, and however long it is; words are told by their letters."""
     rng = random.Random(6)
     texts = [" ".join(rng.choices(["Uno", "dos.", "tres", "über", "VIER\n", "x" * 50], k=rng.choice([0, 1, 9, 300]))) for _ in range(50)]
-    texts += ["y" * (paragraphs.BYTES + 9) + " z", " ".join(f"n{i}" for i in range(40_000)), " " * (2 * paragraphs.BYTES) + "a b c"]
+    texts += ["y" * (words.BYTES + 9) + " z", " ".join(f"n{i}" for i in range(40_000)), " " * (2 * words.BYTES) + "a b c"]
     whole = paragraphs.Parsed(pa.array(texts))
     for i, text in enumerate(texts):
         alone = paragraphs.Parsed(pa.array([text]))
@@ -264,7 +265,7 @@ def test_batches_do_not_matter():
         assert (whole.hash[whole.begin[i] : whole.begin[i + 1]] == alone.hash).all()
         assert [alone.data[a:b].tobytes() for a, b in zip(alone.start, alone.end)] == text.encode().split()
         assert len(set(alone.hash.tolist())) == len(set(text.encode().lower().split()))
-    parts = list(paragraphs.parsed(iter([pa.RecordBatch.from_arrays([pa.array([*texts, None])], names=["t"])]), 0, size=1000))
+    parts = list(words.parsed(iter([pa.RecordBatch.from_arrays([pa.array([*texts, None])], names=["t"])]), 0, paragraphs.Parsed, size=1000))
     assert np.concatenate([p.content for _, p in parts]).tolist() == whole.content.tolist()
 
 

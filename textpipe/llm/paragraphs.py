@@ -1,8 +1,6 @@
-"""Paragraphs of a batch of texts, found in its bytes without a Python object for each word.
+"""Paragraphs of a batch of texts, by the hashes of their words (:mod:`.words`).
 
-A word is a run of bytes other than white space (space and the controls 9 to 13), known by
-a 64-bit hash of its bytes with A-Z lower-cased.  Every place between two words may end a
-paragraph.  Each place has a number, smaller where the word before it ends a sentence or
+Every place between two words may end a paragraph.  Each place has a number, smaller where the word before it ends a sentence or
 a line, and else a hash of the words beside it.  A sentence or line ends a paragraph if no
 other within ``NEAR`` words has a smaller number; a place inside a sentence does if no
 other within ``FAR`` words has, so that long stretches without punctuation are cut too.
@@ -15,86 +13,21 @@ what gets longer than ``LONGEST`` words of them is cut every ``LONGEST`` words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
+from .words import PLACES, Words, mixed, powers
+
 #: Words without a cut on each side of a cut at a sentence or line end, and of a cut inside a sentence.
 NEAR, FAR = 7, 8
 LONGEST = 64
 SHINGLE = 5
-#: Bytes that are hashed at once; one text may have more.
-BYTES = 1 << 16
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_M1, _M2, _M3 = _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93), _U(0xFF51AFD7ED558CCD)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 _INSIDE, _END = _U(2) << _U(62), _U(1) << _U(62)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> _U(32))) * _M1
-    x = (x ^ (x >> _U(29))) * _M2
-    return x ^ (x >> _U(32))
-
-
-def _codes() -> np.ndarray:
-    codes = mixed(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
-    codes[65:91] = codes[97:123]
-    return codes
-
-
-_CODES = _codes()
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_UP, _DOWN = _powers(_BASE, BYTES + 1), _powers(_INVERSE, BYTES + 1)
-_PLACES = _powers(int(_M2), LONGEST * 2)
-
-
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes) and hash of each word; ``data`` must not end within a word that goes on."""
-    n = len(data)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    edge = np.empty(n + 1, dtype=bool)
-    space = _SPACE[data]
-    edge[0], edge[n] = not space[0], not space[-1]
-    np.not_equal(space[1:], space[:-1], out=edge[1:n])
-    at = np.flatnonzero(edge)
-    start, end = at[::2], at[1::2]
-    up, down = (_UP, _DOWN) if n <= BYTES else (_powers(_BASE, n + 1), _powers(_INVERSE, n + 1))
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_CODES[data] * up[:n], out=sums[1:])
-    return start, end, mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-
-
-def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Parts of at most ``BYTES`` that end at white space (longer where a single word is)."""
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + BYTES)
-        if end < len(data) and not _SPACE[data[end]]:
-            back = np.flatnonzero(_SPACE[data[at:end]][::-1])
-            if len(back):
-                end -= int(back[0])
-            else:
-                on = np.flatnonzero(_SPACE[data[end:]])
-                end = end + int(on[0]) if len(on) else len(data)
-        yield at, end
-        at = end
+_BESIDE = powers(0xFF51AFD7ED558CCD, 2)[1]
 
 
 def least(values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,52 +45,22 @@ def least(values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     return run[:n], run[reach + 1 : reach + 1 + n]
 
 
-class Parsed:
+class Parsed(Words):
     """The words and paragraphs of some texts in a row.
 
-    Arrays by word: ``start``, ``end`` (bytes in ``data``), ``hash``.  By paragraph:
-    ``first``, ``count`` (words), ``text`` (which text), ``content`` (a hash of its words).
-    ``begin[i]`` to ``begin[i + 1]`` are the words of text ``i``.
+    By paragraph: ``first``, ``count`` (words), ``text`` (which text), ``content`` (a hash of its words).
     """
 
     def __init__(self, texts: pa.Array):
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-        raw = texts.buffers()[2] if len(texts) else None
-        self.data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.empty(0, np.uint8)
-        self.offsets = offsets - offsets[0]
-        self.texts = texts
-        self._words()
+        super().__init__(texts)
         self._paragraphs()
 
-    def _words(self) -> None:
-        parts: list[tuple[np.ndarray, ...]] = []
-        at, last = 0, len(self.offsets) - 1
-        # Whole texts together up to BYTES, a longer one alone; no word reaches over a text's end.
-        while at < last:
-            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + BYTES, side="right")) - 1)
-            low, high = int(self.offsets[at]), int(self.offsets[to])
-            if to == at + 1:
-                for a, b in _pieces(self.data[low:high]):
-                    start, end, h = words(self.data[low + a : low + b])
-                    parts.append((start + (low + a), end + (low + a), h))
-            else:
-                # A text's end cuts a word: a space is put between texts.
-                inner = self.offsets[at + 1 : to]
-                gap = np.arange(1, to - at)
-                spaced = np.insert(self.data[low:high], inner - low, np.uint8(32))
-                start, end, h = words(spaced)
-                shift = np.searchsorted(inner - low + gap, start, side="right")
-                parts.append((start - shift + low, end - shift + low, h))
-            at = to
-        self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
-        self.begin = np.searchsorted(self.start, self.offsets)
-
     def _cuts(self) -> np.ndarray:
         """Whether a paragraph ends after each word."""
         n = len(self.hash)
         h = self.hash
         after = np.append(h[1:], _U(0))
-        value = mixed(h * _M3 + after) >> _U(2)
+        value = mixed(h * _BESIDE + after) >> _U(2)
         last = self.data[self.end - 1]
         before = self.data[np.maximum(self.end - 2, 0)]
         ends = _STOP[last] & ~_STOP[before] & (self.end - self.start > 1)
@@ -191,40 +94,14 @@ class Parsed:
         self.first, self.count = first[enough], (stop - first)[enough]
         self.text = np.searchsorted(self.begin, self.first, side="right") - 1
         place = np.arange(len(self.hash)) - np.repeat(first, stop - first) if len(stop) else np.empty(0, np.int64)
-        sums = np.add.reduceat(self.hash * _PLACES[place], first) if len(stop) else np.empty(0, np.uint64)
+        sums = np.add.reduceat(self.hash * PLACES[place], first) if len(stop) else np.empty(0, np.uint64)
         self.content = mixed(sums[enough] + self.count.astype(np.uint64))
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``SHINGLE`` words inside paragraphs, and where each paragraph's start."""
         s = np.zeros(max(0, len(self.hash) - SHINGLE + 1), dtype=np.uint64)
         for j in range(SHINGLE):
-            s += self.hash[j : j + len(s)] * _PLACES[j + 1]
+            s += self.hash[j : j + len(s)] * PLACES[j + 1]
         counts = self.count - (SHINGLE - 1)
         starts = np.cumsum(counts) - counts
         return s[np.repeat(self.first - starts, counts) + np.arange(int(counts.sum()))], starts
-
-    def characters(self, text: int) -> np.ndarray:
-        """How many characters of a text are before each of its bytes."""
-        data = self.data[self.offsets[text] : self.offsets[text + 1]]
-        return np.concatenate([np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)])
-
-    def spell(self, paragraph: int) -> list[bytes]:
-        """The lower-cased words of a paragraph."""
-        first = int(self.first[paragraph])
-        last = first + int(self.count[paragraph]) - 1
-        return self.data[self.start[first] : self.end[last]].tobytes().lower().split()
-
-
-def parsed(batches: Iterator[pa.RecordBatch], text_column: int, size: int = 4 * BYTES) -> Iterator[tuple[pa.RecordBatch, Parsed]]:
-    """Slices of batches of about ``size`` bytes of text (one text may have more), with their paragraphs."""
-    for batch in batches:
-        column = batch.column(text_column)
-        if not len(column):
-            continue
-        if column.null_count:
-            column = column.fill_null("")
-        lengths = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1])
-        part = (np.cumsum(lengths.astype(np.int64)) - lengths) // size
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
-        for a, b in zip(edges, edges[1:]):
-            yield batch.slice(a, b - a), Parsed(column.slice(a, b - a))

@@ -41,14 +41,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .bitmaps import BITS, bitmap, within
 from .common import dropped, parallelism, release, sliced, written
 from .components import components
-from .paragraphs import mixed, parsed
+from .paragraphs import Parsed
+from .words import mixed, parsed, signed, text_hash
 
 SIMILARITY = 0.8
 BANDS = 4
@@ -56,14 +57,12 @@ MIN_RUN = 20
 MAX_GROUP = 500
 #: Words beyond the next paragraph on each side that a run may go on over: as many as a cut depends on.
 BEYOND = 10
-#: Bits of a map of what is looked for, and of each of its parts as Spark's functions make them; how far apart a text's paragraphs stand in it.
-BITMAP, PART, STEP = 1 << 27, 1 << 15, 7919
+#: How far apart a text's paragraphs stand in a map of bits.
+STEP = 7919
 #: Paragraphs that a task of the first pass sums up before it sends them on; contents whose shingles a task of the second remembers to have sent.
 BUFFER, SENT = 400_000, 1_000_000
 #: Shingles of large groups are told apart as those of more than 1, 8, 64 ... contents, in maps of this many bits.
 CLASSES, CLASS_BITMAP = (1, 8, 64, 512), 1 << 25
-#: Seed of Spark's xxhash64, by which a text is known there and here.
-SEED = 42
 _SALTS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -75,14 +74,6 @@ def bands(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _row_hash(text: pa.Scalar) -> int:
-    return _signed(xxhash.xxh64_intdigest(text.as_buffer(), SEED))
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``key, content, n`` of each distinct band and content, summed up in the task."""
     keys: list[np.ndarray] = []
@@ -94,7 +85,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate(keys, axis=1)[:, first]
         return pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.tile(content.view(np.int64), BANDS)), pa.array(np.tile(n, BANDS).astype(np.int32))], names=["key", "content", "n"])
 
-    for _, p in parsed(batches, 0):
+    for _, p in parsed(batches, 0, Parsed):
         if len(p.first):
             keys.append(bands(*p.shingles()))
             contents.append(p.content)
@@ -143,21 +134,6 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*kept)
 
 
-def _bitmap(places: DataFrame, size: int = BITMAP) -> np.ndarray:
-    """A bit for each of ``place`` (0 to ``size``); others may share it.  Its size is fixed."""
-    parts = places.select(F.shiftright("place", PART.bit_length() - 1).alias("part"), F.pmod("place", F.lit(PART)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(size // 8, dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        out[r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, dtype=np.uint8)
-    return out
-
-
-def _in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of ``at`` have their bit set."""
-    at = at & np.uint64(len(bits) * 8 - 1)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _occurrences(kind: pa.DataType, candidates, meeting):
     names = ["content", "doc_id", "row", "paragraph", "start", "end", "n_words", "shingles"]
 
@@ -165,8 +141,8 @@ def _occurrences(kind: pa.DataType, candidates, meeting):
         """Paragraphs that may be candidates; the distinct shingles, in order, of those that may meet others, once for a content."""
         known, near = candidates.value, meeting.value
         seen: set[int] = set()
-        for batch, p in parsed(batches, 1):
-            at = np.flatnonzero(_in(known, p.content))
+        for batch, p in parsed(batches, 1, Parsed):
+            at = np.flatnonzero(within(known, p.content))
             if not len(at):
                 continue
             texts = p.text[at]
@@ -178,12 +154,12 @@ def _occurrences(kind: pa.DataType, candidates, meeting):
                 places, low = p.characters(text), p.offsets[text]
                 span[0, a:b] = places[p.start[p.first[at[a:b]]] - low]
                 span[1, a:b] = places[p.end[p.first[at[a:b]] + p.count[at[a:b]] - 1] - low]
-                rows[a:b] = _row_hash(batch.column(1)[text])
+                rows[a:b] = text_hash(batch.column(1)[text])
             s, starts = p.shingles()
             ends = np.append(starts[1:], len(s))
             content = p.content[at]
             body: list[bytes | None] = [None] * len(at)
-            for i in np.flatnonzero(_in(near, content)).tolist():
+            for i in np.flatnonzero(within(near, content)).tolist():
                 c = int(content[i])
                 if c not in seen:
                     seen.add(c)
@@ -204,15 +180,15 @@ def _sides(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for batch, p in parsed(batches, 0):
+        for batch, p in parsed(batches, 0, Parsed):
             rows: dict[tuple[int, int], tuple] = {}
             opening = np.searchsorted(p.text, np.arange(len(p.offsets)))
             for text in np.unique(p.text).tolist():
                 a, b = int(opening[text]), int(opening[text + 1])
-                row = _row_hash(batch.column(0)[text])
-                if not _in(bits, np.array([row % BITMAP], dtype=np.uint64))[0]:
+                row = text_hash(batch.column(0)[text])
+                if not within(bits, np.array([row % BITS], dtype=np.uint64))[0]:
                     continue
-                wanted = np.flatnonzero(_in(bits, np.uint64(row % BITMAP) + np.arange(1, b - a + 1, dtype=np.uint64) * np.uint64(STEP)))
+                wanted = np.flatnonzero(within(bits, np.uint64(row % BITS) + np.arange(1, b - a + 1, dtype=np.uint64) * np.uint64(STEP)))
                 if not len(wanted):
                     continue
                 places, low = p.characters(text), p.offsets[text]
@@ -253,9 +229,9 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extensions(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """For ``row, paragraph`` and the place of the one that stays: how many words beside both agree, and how far they reach."""
     kept = edges.select(F.col("kept_row").alias("row"), F.col("kept_paragraph").alias("paragraph"))
-    at = F.pmod("row", F.lit(BITMAP))
-    places = edges.select("row", "paragraph").union(kept).select(F.explode(F.array(at, F.pmod(at + (F.col("paragraph").cast("long") + 1) * STEP, F.lit(BITMAP)))).alias("place"))
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(places))
+    at = F.pmod("row", F.lit(BITS))
+    places = edges.select("row", "paragraph").union(kept).select(F.explode(F.array(at, F.pmod(at + (F.col("paragraph").cast("long") + 1) * STEP, F.lit(BITS)))).alias("place"))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(places, "place"))
     # Equal texts have equal sides: one row for all of them.
     sides = docs.select("text").mapInArrow(_sides(sent), "row long, paragraph int, left binary, right binary")
     sides = written(sides.groupBy("row", "paragraph").agg(F.first("left").alias("left"), F.first("right").alias("right")), "sides")
@@ -402,10 +378,10 @@ def _rarest(sent):
             rows: list[tuple[int, int, bytes]] = []
             for key, content, body in zip(*(c.to_pylist() for c in batch.columns)):
                 _, token = _tokens(body, key)
-                rarity = sum(_in(m, token).astype(np.int8) for m in maps)
+                rarity = sum(within(m, token).astype(np.int8) for m in maps)
                 order = np.lexsort((token, rarity))[: prefix(len(token))]
                 # A shingle that no other member has shares nothing.
-                rows += [(_signed(int(token[i])), content, body) for i in order.tolist() if rarity[i]]
+                rows += [(signed(int(token[i])), content, body) for i in order.tolist() if rarity[i]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "content", "shingles"])
 
     return run
@@ -437,7 +413,7 @@ def _links(near: DataFrame, bodies: DataFrame, max_group: int) -> DataFrame:
     if many.limit(1).count():
         counts = many.mapInArrow(_token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
         counts = written(counts, "tokens")
-        maps = [_bitmap(counts.where(F.col("n") > least).select(F.pmod("token", F.lit(CLASS_BITMAP)).alias("place")), CLASS_BITMAP) for least in CLASSES]
+        maps = [bitmap(counts.where(F.col("n") > least), "token", CLASS_BITMAP) for least in CLASSES]
         sent = spark.sparkContext.broadcast(maps)
         dealt = written(many.mapInArrow(_rarest(sent), "key long, content long, shingles binary"), "dealt")
         sent.destroy()
@@ -480,8 +456,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meet = written(rows.repartition(parallelism(spark), "key").sortWithinPartitions("key", "content").mapInArrow(_meetings, "key long, content long"), "meetings")
     near = meet.where("key IS NOT NULL")
     candidates = written(meet.select("content").distinct(), "candidates")
-    place = F.pmod("content", F.lit(BITMAP)).alias("place")
-    known, meeting = (spark.sparkContext.broadcast(_bitmap(x.select(place))) for x in (candidates, near))
+    known, meeting = (spark.sparkContext.broadcast(bitmap(x, "content")) for x in (candidates, near))
     seen = docs.mapInArrow(_occurrences(to_arrow_type(docs.schema["doc_id"].dataType), known, meeting), f"content long, doc_id {kind}, row long, paragraph int, start int, end int, n_words int, shingles binary")
     found = written(seen.join(candidates, "content", "left_semi"), "occurrences")
     known.destroy()
