@@ -99,6 +99,10 @@ def test_op1(odd):
     got = [tuple(r) for r in bpe.digests(odd).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert bpe.digests(odd.limit(0)).collect() == []
+    # One pass, and the two operators one after the other, are the same; other tables than ids are carried along.
+    rows = lambda df: sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), r.decoded) for r in df.collect())
+    assert rows(bpe.round_trip(odd)) == rows(bpe.decode(bpe.encode(odd)))
+    assert bpe.decode(bpe.encode(odd.limit(0))).collect() == []
 
 
 def test_simple8b_words():

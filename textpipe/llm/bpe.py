@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, sliced, tokenizer_path
+from .common import SLICE_ROWS, release, sliced, tokenizer_path
 
 #: Code points below this one have had fixed categories and case pairs (which stay below it, but
 #: for a combining dot) for decades, hence Python's own tables hold; a text with any other goes
@@ -168,6 +168,11 @@ class ForcedBoundaryBPE(Vocabulary):
             return array("I", self.piece(word.encode())).tobytes()
         return self._word("".join([self.alphabet[b] for b in word.encode()]))
 
+    def forget(self) -> None:
+        """Drops the words that were kept; they are encoded again when they come."""
+        for cache in (self.words, self.mapped, *self.fragments.values()):
+            cache.clear()
+
     def _encode_part(self, text: str) -> bytes:
         if _OTHER_THAN_PLAIN.search(text) is None:
             return b"".join(map(self.words.__getitem__, self.split.findall(text.lower() if self.lower else text)))
@@ -259,7 +264,29 @@ def decode(encoded: DataFrame, vocabulary: str = "word_bpe_49k.json", ids_col: s
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
+def round_trip(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: ``id_col``, ``n_tokens``, ``ids`` and ``decoded`` of each row.
+
+    One worker process does both with one vocabulary; chained, each would need its own.
+    """
+    path = vocabulary if "/" in vocabulary else tokenizer_path(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[id_col, "n_tokens", "ids", "decoded"])
+        # The worker stays for later stages, which need its memory more than a later task of this one needs its words.
+        bpe.forget()
+        release()
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """Encode, decode, and the digests of both."""
-    both = decode(encode(docs, vocabulary), vocabulary)
+    both = round_trip(docs, vocabulary)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
