@@ -137,6 +137,20 @@ def test_floods_are_linear(spark):
         assert time.time() - began < 30, operation.name
 
 
+def test_raw_text_is_read_once():
+    """Twice the text takes about twice the time: the least of three runs each, with room for a busy machine."""
+    for unit in ("</scrip", "</script ", "< / script x=\"", "</script a='>"):
+        times = []
+        for n in (50_000, 100_000):
+            runs = []
+            for _ in range(3):
+                began = time.perf_counter()
+                interpreter.html_to_markdown("<script>" + unit * n)
+                runs.append(time.perf_counter() - began)
+            times.append(min(runs))
+        assert times[1] < 3 * times[0] + 0.05, unit
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("".join(x for x in POOL if len(x) == 1)), max_size=60))
 def test_properties(text):

@@ -6,7 +6,10 @@ import duckdb
 import pytest
 
 from textpipe import queries
+from textpipe.functions import interpreter
+from textpipe.plans.config import Config, op
 from textpipe.sources import text as sources
+from textpipe.streaming import clipboard
 
 DATA = os.environ.get("TEXTPIPE_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -42,3 +45,44 @@ def test_sources(spark, tmp_path):
     assert [r[0] for r in raw.select(sources.decode_ladder(raw["b"])).collect()] == ["é", "é", None]
     sources.write_texts(spark.createDataFrame([("x",), ("y",)], "text string").coalesce(1), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 2
+
+
+def test_sql_functions_equal_columns(spark):
+    names = ["id", "masked", "round", "square", "back", "falling", "falling_ci", "unwrapped", "emails", "urls", "lower"]
+    got, expected = (sorted(map(tuple, f(spark, DATA).select(*names).collect())) for f in (queries.sql_operations, queries.sql_as_columns))
+    assert got == expected
+    odd = spark.createDataFrame([("b\r\nA\n\na\u03a3 ",), (None,), ("",), ("(x@y.zz), 'http://q.r?a=1\u00a0www.s",)], "text string")
+    odd.createOrReplaceTempView("tp_odd")
+    calls = {
+        "sort_lines": ["", ", true", ", false, true", ", true, true"], "unwrap_lines": [""], "extract_emails": [""], "extract_urls": [""], "defang": ["", ", 'round'"],
+        "mask_identifiers": [", true", ", false, true, true"], "change_case": [", 'upper'", ", 'title'", ", 'sentence'"], "clean_urls": [""], "strip_html": [""], "strip_markdown": [""],
+        "html_to_markdown": [""], "dedupe_lines": [""], "prefix_lines": [", '> '"], "suffix_lines": [", ';'"], "join_with": [", '-'"], "split_on": [", 'x'"], "refang": [""],
+        "collapse_whitespace": [""], "trim_trailing_whitespace": [""], "remove_blank_lines": [""],
+    }
+    assert len(calls) == 20
+    for name, given in calls.items():
+        for rest in given:
+            values = [{"true": True, "false": False}.get(v, v.strip("'")) for v in rest.split(", ")[1:]]
+            for r in spark.sql(f"SELECT text, tp_{name}(text{rest}) AS out FROM tp_odd").collect():
+                assert r.out == (None if r.text is None else getattr(interpreter, name)(r.text, *values)), (name, rest, r.text)
+
+
+def test_stream_keeps_the_latest(spark, tmp_path):
+    """A micro-batch's latest record is done; the baseline and stale ones are not."""
+    schema = clipboard.SCHEMA
+    row = lambda g, text: (g, None, None, text, None, None)
+    got = []
+    for step, rows in enumerate(([row(1, "a  b")], [row(2, "c  d"), row(4, "e  f"), row(3, "g  h")], [row(3, "i  j")], [row(5, "k  l")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sink = lambda batch, epoch: got.extend((r.generation, r.out) for r in batch.collect())
+        clipboard.start(stream, Config((op("collapse_whitespace"),)), sink, str(tmp_path / "checkpoint"), {"availableNow": True}, baseline=True).awaitTermination()
+    assert got == [(4, "e f"), (5, "k l")]
+
+
+def test_lines_keep_open_returns(spark, tmp_path):
+    """Carriage returns belong to the newline after them; without one they stay."""
+    (tmp_path / "open.txt").write_bytes(b"one\r\ntwo\r\r")
+    (tmp_path / "closed.txt").write_bytes(b"one\r\r\ntwo\r\n")
+    for name, expected in (("open.txt", ["one", "two\r\r"]), ("closed.txt", ["one", "two"])):
+        assert [r.content for r in sources.read_lines(spark, str(tmp_path / name)).orderBy("line_no").collect()] == expected

@@ -230,12 +230,18 @@ def _fence(body: str, least: int) -> str:
     return "`" * max(least, 1 + max(map(len, re.findall("`+", body)), default=0))
 
 
+_RAW_CLOSE = {name: re.compile(rf"<\s*+/\s*+{name}(?![A-Za-z0-9])", re.IGNORECASE) for name in ("script", "style")}
+
+
 def _raw_end(text: str, at: int, name: str) -> int:
-    while (lt := text.find("<", at)) >= 0:
+    # Only where the name itself follows is a tag read, and one that has no end is the last: nothing is read twice.
+    for found in _RAW_CLOSE[name].finditer(text, at):
+        lt = found.start()
         tag = _tag(text, lt)
         if tag is not None and tag.closing and tag.name == name:
             return tag.end
-        at = lt + 1
+        if tag is None and text.find(">", lt) < 0:
+            break
     return len(text)
 
 

@@ -6,6 +6,7 @@ have nothing to do, the query and its oracle build the same untidy input first.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -281,15 +282,22 @@ add("continuous_records", lambda spark, sf_dir: clipboard.run_records(_records(s
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records through a file stream; what the sink gets is the result."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textpipe-streams"
-    place = f"{shared}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     _records(spark, sf_dir).write.parquet(f"{place}/in")
     stream = spark.readStream.schema(clipboard.SCHEMA).parquet(f"{place}/in")
-    query = clipboard.start(stream, _CONTINUOUS, lambda batch, epoch: batch.write.mode("append").parquet(f"{place}/out"), f"{place}/checkpoint", {"availableNow": True})
+    query = clipboard.start(stream, _CONTINUOUS, lambda batch, epoch: batch.write.mode("append").parquet(f"{place}/out"), f"{place}/checkpoint", {"availableNow": True}, latest_only=False)
     query.awaitTermination()
     return spark.read.schema("generation long, kind string, out string, status string").parquet(f"{place}/out")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of this machine only where all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or f"{tempfile.gettempdir()}/textpipe-streams"
+
+
 add("streamed_records", streamed, f"SELECT * FROM ({_RECORD_ORACLE}) WHERE status = 'transformed'")
 add("latest_record", lambda spark, sf_dir: clipboard.latest(_records(spark, sf_dir)).select("generation", "plain"), "SELECT max(doc_id) * 2 + 1 AS generation, CASE WHEN max(doc_id) % 3 = 0 THEN max_by(text, doc_id) || '  ' ELSE max_by(text, doc_id) END AS plain FROM documents")
 add("run_once_html_only", lambda spark, sf_dir: clipboard.run_once(_records(spark, sf_dir), one("html_to_markdown")).select("generation", "status", "out"), "SELECT page_id * 2 AS generation, 'transformed' AS status, 'page ' || page_id || chr(10) || chr(10) || 'end' AS out FROM pages UNION ALL SELECT doc_id * 2 + 1, 'not_applicable', NULL FROM documents")
@@ -324,3 +332,35 @@ def sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("sql_lines", sql_lines, f"WITH t AS (SELECT id, {_BODY} AS l FROM {duck('twice')}) SELECT id, unnest(range(len(l)))::INTEGER AS line_no, unnest(l) AS content, true AS newline FROM t")
+
+
+def sql_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions with their parameters, one column each."""
+    sql.register(spark)
+    source(spark, sf_dir, "contacts").createOrReplaceTempView("tp_contacts")
+    return spark.sql(
+        "SELECT id, tp_mask_identifiers(text, true, true, false) AS masked, tp_defang(text, 'round') AS round, tp_defang(text) AS square, tp_refang(tp_defang(text, 'round')) AS back, "
+        "tp_sort_lines(text, true) AS falling, tp_sort_lines(text, true, true) AS falling_ci, tp_unwrap_lines(text) AS unwrapped, tp_extract_emails(text) AS emails, tp_extract_urls(text) AS urls, tp_change_case(text, 'lower') AS lower FROM tp_contacts"
+    )
+
+
+def sql_as_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the DataFrame API."""
+    out = source(spark, sf_dir, "contacts")
+    for name, steps in {
+        "masked": [op("mask_identifiers", emails=True, ipv4=True)],
+        "round": [op("defang", style="round")],
+        "square": [op("defang")],
+        "back": [op("defang", style="round"), op("refang")],
+        "falling": [op("sort_lines", descending=True)],
+        "falling_ci": [op("sort_lines", descending=True, case_insensitive=True)],
+        "unwrapped": [op("unwrap_lines")],
+        "emails": [op("extract_emails")],
+        "urls": [op("extract_urls")],
+        "lower": [op("change_case", case="lower")],
+    }.items():
+        out = cell.transform(out, Config(tuple(steps), "as_given"), out=name)
+    return out.drop("text")
+
+
+add("sql_operations", sql_operations)

@@ -19,10 +19,20 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row for each line, split at newlines only: ``path, line_no, content``.
 
-    Files are read in splits; ``line_no`` grows along a file but has gaps.
+    Files are read in splits; ``line_no`` grows along a file but has gaps.  Carriage returns belong to the
+    newline that follows; those at the end of a file without one stay.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("content"))
-    return lines.withColumn("content", F.regexp_replace("content", r"(?<!\r)\r++\z", ""))
+    returns = F.col("content").endswith("\r")
+    # Only where a line has them is its file looked at once more, for its last byte.
+    ends = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), (F.substring("content", -1, 1) != F.lit(b"\n")).alias("open"))
+    last = lines.where(returns).groupBy("path").agg(F.max("line_no").alias("last"))
+    last = last.join(ends, F.regexp_replace("path", "^[a-z0-9]+:/*", "/") == F.regexp_replace("file", "^[a-z0-9]+:/*", "/")).where("open").select(F.col("path").alias("__path"), "last")
+    tail = lines.groupBy("path").agg(F.max("line_no").alias("last_line")).withColumnRenamed("path", "__tail")
+    last = last.join(tail, (F.col("__path") == F.col("__tail")) & (F.col("last") == F.col("last_line")), "left_semi")
+    stays = F.col("last").isNotNull()
+    rows = lines.join(last, (F.col("path") == F.col("__path")) & (F.col("line_no") == F.col("last")), "left")
+    return rows.select("path", "line_no", F.when(stays | ~returns, F.col("content")).otherwise(F.regexp_replace("content", r"(?<!\r)\r++\z", "")).alias("content"))
 
 
 def write_texts(df: DataFrame, path: str, column: str = "text", separator: str = "\n") -> None:

@@ -6,12 +6,13 @@ stream keeps of several records in one micro-batch is the latest (:func:`latest`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cell import guarded
 from ..plans.config import Config, op
+from ..plans.planner import plan
 from ..sources.text import best_representation
 
 #: Markers of records that must not be processed.
@@ -59,11 +60,41 @@ def latest(records: DataFrame) -> DataFrame:
     return records.groupBy().agg(F.max_by(F.struct(*records.columns), "generation").alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-def start(records: DataFrame, config: Config, sink, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Run a stream; ``sink(batch, epoch)`` gets the transformed records that are to be written."""
-    done = run_records(records, config)
+def _generations(spark: SparkSession, mark: str) -> list[tuple[int, int]]:
+    """Epochs done so far and the last generation of each: one row an epoch."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mark)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return []
+    rows = spark.read.schema("epoch long, generation long").parquet(f"{mark}/*")
+    return [tuple(r) for r in rows.groupBy().agg(F.max_by(F.struct("epoch", "generation"), "epoch").alias("r")).where("r IS NOT NULL").select("r.*").collect()]
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        sink(batch.where("status = 'transformed'"), epoch)
 
-    return done.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": POLL})).start()
+def start(records: DataFrame, config: Config, sink, checkpoint: str, trigger: dict | None = None, latest_only: bool = True, baseline: bool = False) -> StreamingQuery:
+    """Run a stream; ``sink(batch, epoch)`` gets the transformed records that are to be written.
+
+    Of several records that came while one was in work only the latest is done, and one that is not newer than the
+    last is stale and dropped (the last generation is kept beside the checkpoint).  With ``baseline`` what is there
+    when the stream first starts is not transformed, only newer generations are.  Without ``latest_only`` every
+    record is done as it comes.
+    """
+    plan(config, continuous=True)
+    mark = f"{checkpoint}/generation"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        if not latest_only:
+            sink(run_records(batch, config).where("status = 'transformed'"), epoch)
+            return
+        spark = batch.sparkSession
+        newest = latest(batch)
+        row = newest.select("generation").first()
+        if row is None:
+            return
+        done = _generations(spark, mark)
+        last = max((g for e, g in done if e < epoch), default=None)
+        if last is None and baseline or last is not None and row.generation <= last:
+            newest = newest.limit(0)
+        sink(run_records(newest, config).where("status = 'transformed'"), epoch)
+        seen = row.generation if last is None else max(last, row.generation)
+        spark.createDataFrame([(epoch, seen)], "epoch long, generation long").coalesce(1).write.mode("overwrite").parquet(f"{mark}/epoch={epoch}")
+
+    return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": POLL})).start()
