@@ -314,6 +314,22 @@ def test_op5(spark):
     assert sorted((r.page_id, r.verdict) for r in one) == [(1, "block"), (2, "block"), (2, "block")]
 
 
+def test_op5_held_out_accuracy(spark):
+    """Trees that never saw a url, nor its label in a suffix's statistics, agree with the rule on it."""
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    rng = random.Random(3)
+    given = [(r.page_id, r.url) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    given += [(10_000 + i, f"http://{rng.choice(['a', 'www', 'x.y'])}.{rng.choice(['one', 'two', 'example'])}.{t}/{l}/{rng.randrange(99)}?p={i}") for i in range(900) for t, l in [rng.choice([("com", "en"), ("net", "de"), ("org", "es")])]]
+    pages = spark.createDataFrame([*given, (None, None), (1, "http://com/en/")], "page_id long, url string")
+    extra = pages.selectExpr("*", "'x' AS host", "1 AS label", "2 AS suffix", "3 AS ruling")
+    assert sorted(map(str, urls.verdicts(extra).collect())) == sorted(map(str, urls.verdicts(pages).collect()))
+    known = urls.ruled(urls.parsed(pages)).where("ruling IS NOT NULL")
+    trees = urls.learned(known.where("page_id % 5 <> 0"))
+    rows = trees.scored(known.where("page_id % 5 = 0")).select("ruling", "p").collect()
+    assert len(rows) > 100 and sum((r.p > 0.5) == (r.ruling == "block") for r in rows) >= 0.9 * len(rows)
+
+
 # ---------------------------------------------------------------- 9, 10: models
 
 
@@ -389,3 +405,77 @@ def test_rare_languages_reject_foreign_texts(spark):
     trusted = perplexity.train(docs, spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int"))
     assert np.isfinite(trusted.limits).all()
     assert all(trusted.judge(["bb"] * 5, [rare() for _ in range(5)])[3]) and not any(trusted.judge(["bb"] * 5, [foreign() for _ in range(5)])[3])
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of one model by the textbook, with tuples and dictionaries."""
+
+    def __init__(self, texts, order, modified, units):
+        self.order = order
+        counts = {order: collections.Counter()}
+        for t in texts:
+            t = [None] * (order - 1) + t
+            counts[order].update(tuple(t[i : i + order]) for i in range(len(t) - order + 1))
+        for k in range(order - 1, 0, -1):
+            counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+        self.counts, self.units = counts, units
+        self.discount, self.total, self.lost = {}, {}, {}
+        for k, c in counts.items():
+            n = [sum(v == i for v in c.values()) for i in range(1, 5)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+            d = [0, y, y, y]
+            if modified:
+                d = [0] + [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else y for i in (1, 2, 3)]
+                d = [0] + [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d[1:], 1)]
+            self.discount[k] = d
+            self.total[k], self.lost[k] = collections.Counter(), collections.Counter()
+            for g, v in c.items():
+                self.total[k][g[:-1]] += v
+                self.lost[k][g[:-1]] += d[min(v, 3)]
+
+    def p(self, gram):
+        if not gram:
+            return 1 / (self.units + 1)
+        k, below = len(gram), self.p(gram[1:])
+        total = self.total[k][gram[:-1]]
+        if not total:
+            return below
+        c = self.counts[k][gram]
+        return (c - self.discount[k][min(c, 3)]) / total + self.lost[k][gram[:-1]] / total * below
+
+    def entropy(self, text):
+        text = [None] * (self.order - 1) + text
+        return -sum(np.log(self.p(tuple(text[i - self.order + 1 : i + 1]))) for i in range(self.order - 1, len(text)))
+
+
+@pytest.mark.parametrize("modified", [False, True])
+def test_models_against_a_plain_one(spark, modified):
+    """Every text's log probability in every model is that of the textbook's formula."""
+    from textpipe.llm import kn
+
+    rng = random.Random(4)
+    names = ["a", "b"]
+    rows = [(rng.choice(names), " ".join(rng.choices(["to", "be", "or", "not", "that", "is"], weights=[9, 7, 5, 3, 2, 1], k=rng.randrange(0, 40)))) for _ in range(80)]
+    df = spark.createDataFrame(rows, "model string, text string")
+    order = 3
+    model = kn.Model(*kn.count(df, perplexity.units, order, names), len(names), order, modified=modified)
+    units = len({w for _, t in rows for w in t.split()})
+    plain = [PlainKneserNey([t.split() for m, t in rows if m == name], order, modified, units) for name in names]
+    texts = [t for _, t in rows[:20]] + ["to be or new", "new words only", "is is is"]
+    got = model.score_many([perplexity.units(t) for t in texts])
+    for text, row in zip(texts, got):
+        assert np.allclose(row, [-p.entropy(text.split()) for p in plain], rtol=1e-4, atol=1e-3), text
+
+
+def test_samples_are_bounded(spark):
+    """A hot id, repeated rows and very long texts do not get past the bounds of a sample."""
+    rows = [(7, f"wort nummer {i} steht hier", "de") for i in range(3000)] + [(8, "immer dieselbe Zeile", "de")] * 3000 + [(9, "lang " * 100_000, "de"), (None, "ohne Nummer", "de")]
+    df = spark.createDataFrame(rows, "id long, text string, model string")
+    from pyspark.sql import functions as F
+
+    from textpipe.llm import kn
+
+    got = kn.sample(df.withColumn("h", F.xxhash64("text")), "model", ["id", "h"], 100)
+    assert got.count() <= 160
+    known = langid.train(df.withColumnRenamed("id", "doc_id").withColumnRenamed("model", "lang"), max_bytes=1000)
+    assert known.names == ["de"]

@@ -233,8 +233,12 @@ class Model:
         return out
 
 
-def sample(rows: DataFrame, model: str, id_col: str, most: int) -> DataFrame:
-    """About ``most`` rows of each model at most, chosen by a hash of their id; whole texts."""
+#: Bytes of a text from which models learn at most; longer ones are no part of a sample, which bounds it in bytes too.
+MAX_BYTES = 1 << 18
+
+
+def sample(rows: DataFrame, model: str, keys: list[str], most: int) -> DataFrame:
+    """About ``most`` rows of each model at most, chosen by a hash of the columns ``keys``, equal rows once; whole texts."""
     counts = {r[0]: r[1] for r in rows.groupBy(model).count().toLocalIterator()}
     share = None
     for key, n in counts.items():
@@ -242,5 +246,5 @@ def sample(rows: DataFrame, model: str, id_col: str, most: int) -> DataFrame:
         share = case
     if share is None:
         return rows.limit(0)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(draw < share)
+    draw = F.pmod(F.xxhash64(F.lit("sample"), *map(F.col, keys)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(draw < share).dropDuplicates([model, *keys])

@@ -3,15 +3,15 @@
 One interpolated Kneser-Ney model of 4-character grams for each language that the training
 rows name, all in common sorted hash arrays (:mod:`.kn`).  A text gets the language whose
 model gives the lowest cross-entropy per character.  The models learn from at most about
-``max_docs`` labelled documents of each language, chosen by a hash of the id; a fifth of
-the sample is held back, and a text is rejected if its cross-entropy is above all that the
+``max_docs`` labelled documents of each language, of ``max_bytes`` at most, chosen by a hash
+of id and text (repeated rows once); a fifth of the sample is held back, and a text is rejected if its cross-entropy is above all that the
 held-back documents of the language make likely.  A language with fewer than five of these
 is calibrated by scores of its documents under models of its others, and where these are
 fewer than five as well, with the spread of the other languages; a language of a single
 document gets the median limit of the others.  Only where no language has two documents
 is there nothing to calibrate by, and nothing is rejected for its score.
 
-Null texts and texts without a letter are ``und`` with score 0 and are rejected.  Without
+Null texts and texts without a letter are ``und`` with score 0 and are rejected.  Of languages that fit a text equally well the first by name is predicted.  Without
 any labelled row nothing is learned and every text is ``und``.  Repeated rows get equal
 answers; ids and sources are never looked at for a prediction.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import sliced, written
-from .kn import FEW, Model, count, left_out, sample
+from .kn import FEW, MAX_BYTES, Model, count, left_out, sample
 
 ORDER = 4
 MAX_DOCS = 300
@@ -77,10 +77,10 @@ class Languages:
         return lang, score, entropy, reject
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, max_docs: int = MAX_DOCS) -> Languages:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Languages:
     """Models from the labelled rows given; rows with a null text or language are left out."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("model")).where("text IS NOT NULL AND model IS NOT NULL")
-    rows = sample(rows, "model", "id", max_docs)
+    rows = sample(rows.where(F.octet_length("text") <= max_bytes).withColumn("h", F.xxhash64("text")), "model", ["id", "h"], max_docs)
     rows = written(rows.withColumn("back", F.pmod(F.xxhash64(F.lit("held back"), "id"), F.lit(5)) == 0), "labelled")
     names = sorted(r[0] for r in rows.select("model").distinct().toLocalIterator())
     model = Model(*count(rows.where("NOT back"), units, order, names), len(names), order, modified=False)
