@@ -193,10 +193,7 @@ def plain_contamination(text, items):
 def test_decontamination(odd, spark, monkeypatch, bits):
     """Null, short, empty, equal and repeated items; null and shared ids of documents; maps that tell nearly nothing."""
     monkeypatch.setattr(decontaminate, "RARITY_BITS", bits)
-    if bits == 1 << 15:
-        from textpipe.llm import bitmaps
-
-        monkeypatch.setattr(decontaminate, "bitmap", lambda df, column, size=bits: bitmaps.bitmap(df, column, min(size, bits)))
+    monkeypatch.setattr(decontaminate, "INDEX_BITS", bits)
     text = odd.where("doc_id = 20").first().text.split()
     items = [(i, " ".join(text[i : i + 20])) for i in range(0, 40, 7)] + [(99, "Alpha"), (98, "theta alpha"), (98, "mu nu"), (None, "kappa kappa"), (97, ""), (96, None), (95, " ".join(text[3:30])), (95, " ".join(text[3:30])), (94, "no such words")]
     rows = pairs(odd) + [(None, text and " ".join(text)), (7, "ALPHA-alpha ist über"), (7, "ALPHA-alpha ist über")]

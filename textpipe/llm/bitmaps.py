@@ -13,16 +13,24 @@ from pyspark.sql import functions as F
 BITS, PART = 1 << 27, 1 << 15
 
 
-def bitmap(values: DataFrame, column: str, size: int = BITS) -> np.ndarray:
-    """A bit for each value of a column of longs, by its last bits."""
-    places = values.select(F.pmod(column, F.lit(size)).alias("place"))
-    parts = places.select(F.shiftright("place", PART.bit_length() - 1).alias("part"), F.pmod("place", F.lit(PART)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(size // 8, dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        out[r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+def bitmaps(values: DataFrame, which: str, column: str, n: int, size: int = BITS) -> np.ndarray:
+    """``n`` maps (rows) of a bit for each value of a column of longs, by its last bits; ``which`` tells a value's map.
+
+    One job, whose result has the size of the maps whatever the data has.
+    """
+    places = values.select(F.col(which).alias("which"), F.pmod(column, F.lit(size)).alias("place"))
+    parts = places.select("which", F.shiftright("place", PART.bit_length() - 1).alias("part"), F.pmod("place", F.lit(PART)).alias("bit")).groupBy("which", "part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((n, size // 8), dtype=np.uint8)
+    for r in parts.collect():
+        out[r.which, r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, dtype=np.uint8)
     return out
 
 
+def bitmap(values: DataFrame, column: str, size: int = BITS) -> np.ndarray:
+    """One such map of all values."""
+    return bitmaps(values.withColumn("which", F.lit(0)), "which", column, 1, size)[0]
+
+
 def within(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values have their bit set."""
     at = values & np.uint64(len(bits) * 8 - 1)

@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bitmaps import bitmap, within
+from .bitmaps import BITS, bitmap, bitmaps, within
 from .common import dropped, release, written
 from .words import PLACES, Words, mixed, parsed, signed, text_hash
 
 WINDOW = 13
 #: Bits of each of the maps of words that occur more often than these.
 RARITY, RARITY_BITS = tuple(4**k for k in range(1, 13)), 1 << 24
+#: Bits of the maps of the benchmark's words, of rarest words and of windows.
+INDEX_BITS = BITS
 #: Word hashes that a task counts, and places that it looks at, at once.
 BUFFER, PLACES_AT_ONCE = 1_000_000, 50_000
 #: Bytes that make no words: ASCII but for digits and letters.
@@ -97,7 +99,9 @@ def _windows(sent, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = sent.value
         for batch, w in _parsed(batches, 1):
-            rarity = sum(within(m, w.hash).astype(np.int8) for m in maps)
+            rarity = np.zeros(len(w.hash), dtype=np.int8)
+            for k, m in enumerate(maps, 1):
+                rarity[within(m, w.hash)] = k
             for i, item in enumerate(batch.column(0).to_pylist()):
                 first, n = int(w.begin[i]), int(w.begin[i + 1] - w.begin[i])
                 if not n:
@@ -149,10 +153,12 @@ def _index(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str,
     """``key, window, word, size, items`` of each different window of the benchmark, as a table."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    vocabulary = spark.sparkContext.broadcast(bitmap(items.select("text").mapInArrow(_vocabulary, "word long"), "word"))
+    vocabulary = spark.sparkContext.broadcast(bitmap(items.select("text").mapInArrow(_vocabulary, "word long"), "word", INDEX_BITS))
     counts = written(docs.select("text").mapInArrow(_counts(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     vocabulary.destroy()
-    maps = spark.sparkContext.broadcast([bitmap(counts.where(F.col("n") >= least), "word", RARITY_BITS) for least in RARITY])
+    # The last of the powers that a word's count reaches; words below all of them are in no map.
+    classed = counts.withColumn("class", F.size(F.filter(F.array(*map(F.lit, RARITY)), lambda least: F.col("n") >= least)) - 1).where("class >= 0")
+    maps = spark.sparkContext.broadcast(bitmaps(classed, "class", "word", len(RARITY), RARITY_BITS))
     rows = items.mapInArrow(_windows(maps, window), "key long, window binary, word long, size int, item string")
     index = written(rows.groupBy("key", "window", "word", "size").agg(F.collect_set("item").alias("items")), "windows")
     maps.destroy()
@@ -165,8 +171,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     index = _index(docs, benchmark, item_col, item_text_col, window)
-    sizes = sorted(r[0] for r in index.select("size").distinct().toLocalIterator())
-    words, keys = (spark.sparkContext.broadcast(bitmap(index, column)) for column in ("word", "key"))
+    # No more than there are lengths of windows.
+    sizes = sorted(index.agg(F.collect_set("size")).first()[0])
+    both = index.select(F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("word").alias("value")), F.struct(F.lit(1).alias("which"), F.col("key").alias("value")))))
+    words, keys = map(spark.sparkContext.broadcast, bitmaps(both, "which", "value", 2, INDEX_BITS))
     probe = _probe(words, keys, sizes, to_arrow_type(kind))
     probed = written(docs.select("doc_id", "text").mapInArrow(probe, f"doc_id {kind.simpleString()}, text_hash long, n_words long, key long, window binary, start int, stop int"), "probed")
     words.destroy()

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bitmaps import BITS, bitmap, within
+from .bitmaps import BITS, bitmap, bitmaps, within
 from .common import dropped, parallelism, release, sliced, written
 from .components import components
 from .paragraphs import Parsed
@@ -378,7 +378,9 @@ def _rarest(sent):
             rows: list[tuple[int, int, bytes]] = []
             for key, content, body in zip(*(c.to_pylist() for c in batch.columns)):
                 _, token = _tokens(body, key)
-                rarity = sum(within(m, token).astype(np.int8) for m in maps)
+                rarity = np.zeros(len(token), dtype=np.int8)
+                for k, m in enumerate(maps, 1):
+                    rarity[within(m, token)] = k
                 order = np.lexsort((token, rarity))[: prefix(len(token))]
                 # A shingle that no other member has shares nothing.
                 rows += [(signed(int(token[i])), content, body) for i in order.tolist() if rarity[i]]
@@ -413,7 +415,8 @@ def _links(near: DataFrame, bodies: DataFrame, max_group: int) -> DataFrame:
     if many.limit(1).count():
         counts = many.mapInArrow(_token_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
         counts = written(counts, "tokens")
-        maps = [bitmap(counts.where(F.col("n") > least), "token", CLASS_BITMAP) for least in CLASSES]
+        classed = counts.withColumn("class", F.size(F.filter(F.array(*map(F.lit, CLASSES)), lambda least: F.col("n") > least)) - 1)
+        maps = bitmaps(classed, "class", "token", len(CLASSES), CLASS_BITMAP)
         sent = spark.sparkContext.broadcast(maps)
         dealt = written(many.mapInArrow(_rarest(sent), "key long, content long, shingles binary"), "dealt")
         sent.destroy()
