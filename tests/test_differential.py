@@ -60,7 +60,7 @@ def test_pipelines_equal_interpreter(inputs):
 
 
 def test_fused_steps(inputs):
-    for names in (("trim_trailing_whitespace", "remove_blank_lines"), ("trim_trailing_whitespace", "remove_blank_lines", "dedupe_lines"), ("collapse_whitespace", "trim_trailing_whitespace", "remove_blank_lines", "dedupe_lines", "sort_lines")):
+    for names in (("trim_trailing_whitespace", "remove_blank_lines"), ("trim_trailing_whitespace", "remove_blank_lines", "dedupe_lines"), ("collapse_whitespace", "trim_trailing_whitespace", "remove_blank_lines", "dedupe_lines", "sort_lines"), ("collapse_whitespace", "trim_trailing_whitespace", "remove_blank_lines"), ("strip_html", "strip_markdown")):
         config = Config(tuple(map(op, names)))
         assert any(s.fused for s in plan(config)) and not any(s.fused for s in plan(config, fuse=False))
         assert [r.text for r in cell.transform(inputs, config, out="out").collect() if r.out != interpreter.transform(r.text, config)] == []

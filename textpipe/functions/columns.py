@@ -31,18 +31,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# ---------------------------------------------------------------- lines
 
 
-# ---------------------------------------------------------------- lines
+def _on_spaces(c: Column, passes: Callable[[Column, str], Column]) -> Column:
+    """``passes`` with what makes ``\\s`` stand for all white space: nothing for ASCII texts, whose class is a table look-up."""
+    return F.when(F.octet_length(c) == F.length(c), passes(c, "")).otherwise(passes(c, "(?U)"))
 
 
 def line_array(c: Column) -> Column:
-    return F.split(c, LINE_END, -1)
+    return F.when(c.contains("\r"), F.split(c, LINE_END, -1)).otherwise(F.split(c, "\n", -1))
 
 
 def content_array(c: Column) -> Column:
     """Lines without the empty rest after a final newline."""
-    return F.split(F.regexp_replace(c, LINE_END + r"\z", ""), LINE_END, -1)
+    body = F.when(c.endswith("\n"), F.left(c, F.length(c) - 1)).otherwise(c)
+    return F.when(c.contains("\r"), F.split(F.regexp_replace(c, LINE_END + r"\z", ""), LINE_END, -1)).otherwise(F.split(body, "\n", -1))
 
 
 def _final(c: Column) -> Column:
@@ -57,34 +61,54 @@ def is_blank(x: Column) -> Column:
     return x.rlike(_BLANK)
 
 
+# The first character of each pattern is a class or a newline, and look-behinds come after it: most places fail at once.
+_INLINE = r"[\s&&[^\n]]"
+_TRAILING = rf"{_INLINE}(?<!{_INLINE}{{2}}){_INLINE}*+(?=\n|\z)"
+
+
 def collapse_whitespace(c: Column) -> Column:
-    return F.regexp_replace(c, "[ \t]+", " ")
+    return F.when(c.contains("  ") | c.contains("\t"), F.regexp_replace(c, r"[ \t](?:(?<=\t)|(?=[ \t]))[ \t]*+", " ")).otherwise(c)
 
 
 def trim_trailing_whitespace(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]++(?=\n|\z)", "")
+    return _on_spaces(c, lambda x, u: F.regexp_replace(x, u + _TRAILING, ""))
 
 
 def remove_blank_lines(c: Column) -> Column:
-    return let(F.filter(content_array(c), lambda x: ~is_blank(x)), lambda k: F.when(F.size(k) > 0, F.concat(F.array_join(k, "\n"), _final(c))).when(k.isNotNull(), ""))
+    def lines(x: Column) -> Column:
+        return let(F.filter(content_array(x), lambda y: ~is_blank(y)), lambda k: F.when(F.size(k) > 0, F.concat(F.array_join(k, "\n"), _final(x))).when(k.isNotNull(), ""))
+
+    def passes(x: Column, u: str) -> Column:
+        # Blank lines between others, at the start, and one at the end without a newline of its own.
+        x = F.regexp_replace(F.regexp_replace(x, u + r"\n\s*\n", "\n"), u + r"\A\s*\n", "")
+        return F.regexp_replace(F.regexp_replace(x, u + rf"\n{_INLINE}++\z", ""), u + r"\A\s++\z", "")
 
+    return F.when(c.contains("\r"), lines(c)).otherwise(_on_spaces(c, passes))
 
-def trim_and_filter(c: Column, dedupe: bool) -> Column:
-    """Trailing white space, blank lines and, if asked, repeated lines at once; equal to the single steps in that order."""
-    lines = F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)(?<!\s)\s++\z", "")), lambda x: x != "")
-    ends = c.rlike(r"(?U)\n[\s&&[^\n]]*+\z")
-    return let(F.array_distinct(lines) if dedupe else lines, lambda k: F.when(F.size(k) > 0, F.concat(F.array_join(k, "\n"), F.when(ends, "\n").otherwise(""))).when(k.isNotNull(), ""))
+
+def trim_and_filter(c: Column, collapse: bool = False) -> Column:
+    """Runs of blanks if asked, trailing white space and blank lines at once; equal to the single steps in that order."""
+
+    def passes(x: Column, u: str) -> Column:
+        if collapse:
+            x = F.regexp_replace(x, r"[ \t](?:(?<=\t)|(?=[ \t]))[ \t]*+", " ")
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, u + _TRAILING, ""), r"\n{2,}+", "\n"), r"\A\n", "")
+
+    return _on_spaces(c, passes)
 
 
 def unwrap_lines(c: Column) -> Column:
-    lines = F.transform(line_array(c), lambda x: F.regexp_replace(x, r"(?U)\A\s++|(?<!\s)\s++\z", ""))
-    joined = F.regexp_replace(F.array_join(lines, "\n"), r"\A\n++|(?<!\n)\n++\z", "")
-    return F.regexp_replace(F.regexp_replace(joined, r"(?<!\n)\n(?!\n)", " "), r"\n{2,}+", "\n\n")
+    def passes(x: Column, u: str) -> Column:
+        x = F.regexp_replace(F.regexp_replace(x, u + _TRAILING, ""), u + rf"\n{_INLINE}++", "\n")
+        x = F.regexp_replace(F.regexp_replace(x, u + r"\A\s++", ""), r"\n(?<!\n\n)\n*+\z", "")
+        return F.regexp_replace(F.regexp_replace(x, r"\n(?<!\n\n)(?!\n)", " "), r"\n{3,}+", "\n\n")
+
+    return _on_spaces(c, passes)
 
 
 def lower(c: Column) -> Column:
     """Lower case without a final form of sigma."""
-    return F.lower(F.translate(c, "Σ", "σ"))
+    return F.when(c.contains("Σ"), F.lower(F.translate(c, "Σ", "σ"))).otherwise(F.lower(c))
 
 
 def sort_lines(c: Column, descending: bool = False, case_insensitive: bool = False) -> Column:
@@ -271,8 +295,6 @@ def clean_urls(c: Column) -> Column:
 # ---------------------------------------------------------------- markup
 
 
-
-
 _strip_html = _per_text(interpreter.strip_html)
 _strip_markdown = _per_text(interpreter.strip_markdown)
 _html_to_markdown = _per_text(interpreter.html_to_markdown)
@@ -284,28 +306,53 @@ def _gated(c: Column, plain: Column, native: Column, parsed) -> Column:
 
 
 def _edges(c: Column) -> Column:
-    return F.trim(c, F.lit("\n \t\r"))
+    """Without the white space around it; trimming walks over the whole text, so it must have something to do."""
+    edge = c.startswith("\n") | c.endswith("\n")
+    for space in " \t\r":
+        edge = edge | c.startswith(space) | c.endswith(space)
+    return F.when(edge, F.trim(c, F.lit("\n \t\r"))).otherwise(c)
 
 
 def strip_html(c: Column) -> Column:
     # Expressions for whole tags were tried and are exact, but their many passes took longer than the parser.
-    return _gated(c, ~c.rlike("[<&]") & ~c.rlike("\n[ \t]*+\n[ \t]*+\n"), _edges(c), _strip_html)
+    return _gated(c, ~c.contains("<") & ~c.contains("&") & ~c.rlike("\n[ \t]*+\n[ \t]*+\n"), _edges(c), _strip_html)
 
 
 def is_plain_markdown(c: Column) -> Column:
-    """Nothing but paragraphs: no mark of any construct, no white space at a line's edge."""
-    return ~c.rlike(r"[&<>`*~\[\]()|\\#!\r]|(?<![A-Za-z0-9])_|_(?![A-Za-z0-9])|(?dm)^[ \t]|[ \t]$|^(?:[-+]|[0-9]{1,9}\.)(?:[ \t]|$)|^[-=: ]++$")
+    """Nothing but paragraphs: no mark of any construct, no white space at a line's edge but blanks at its end."""
+    plain = ~c.rlike(r"[&<>`*~\[\]()|\\#!\r]") & ~c.startswith(" ") & ~c.startswith("\t") & ~c.rlike("\n[ \t]") & ~c.rlike(r"\t *+(?:\n|\z)")
+    plain = plain & ~(c.contains("_") & c.rlike(r"_(?<![A-Za-z0-9]_)|_(?![A-Za-z0-9])"))
+    # A list's mark or a rule, at the start of the text and of a line.
+    mark, rule = r"(?:[-+]|[0-9]{1,9}\.)(?:[ \t\n]|\z)", r"[-=: ]++(?:\n|\z)"
+    return plain & ~F.left(c, F.lit(12)).rlike(r"\A" + mark) & ~c.rlike("\n" + mark) & ~c.rlike("\n" + rule) & ~(F.left(c, F.lit(1)).rlike("[-=:]") & c.rlike(r"\A" + rule))
+
+
+def _paragraphs(c: Column) -> Column:
+    """Plain Markdown: blanks at a paragraph's end go, two or more at a line's end break it, all other lines are joined."""
+    body = F.regexp_replace(F.when(c.endswith("\n"), F.regexp_replace(c, r"\n(?<!\n\n)\n*+\z", "")).otherwise(c), r"\A\n++", "")
+    ended = F.regexp_replace(body, r" (?<!  ) *+(?=\n(?:\n|\z)|\z)", "")
+    joined = F.regexp_replace(F.regexp_replace(ended, r" (?<!  )\n(?=[^\n])", " "), r"\n(?<![\n ]\n)(?=[^\n])", " ")
+    broken = F.regexp_replace(joined, r" (?<!  ) ++\n", "\n")
+    simple = F.regexp_replace(body, r"\n(?<!\n\n)(?=[^\n])", " ")
+    return F.regexp_replace(F.when(c.contains(" \n") | c.endswith(" "), broken).otherwise(simple), r"\n{3,}+", "\n\n")
+
+
+_strip_both = _per_text(lambda text: interpreter.strip_markdown(interpreter.strip_html(text)))
 
 
 def strip_markdown(c: Column) -> Column:
-    joined = F.regexp_replace(F.trim(c, F.lit("\n")), r"(?<!\n)\n(?!\n)", " ")
-    return _gated(c, is_plain_markdown(c), _edges(F.regexp_replace(joined, r"\n{2,}+", "\n\n")), _strip_markdown)
+    return _gated(c, is_plain_markdown(c), _paragraphs(c), _strip_markdown)
+
+
+def strip_html_and_markdown(c: Column) -> Column:
+    """Both with one test and one hand-over: what is plain Markdown has no tags, and its edges go in any case."""
+    return _gated(c, is_plain_markdown(c), _paragraphs(c), _strip_both)
 
 
 def html_to_markdown(c: Column) -> Column:
     spaced = F.trim(F.regexp_replace(c, r"(?U)\s++", " "))
     text = F.regexp_replace(F.regexp_replace(spaced, r"(?<=[\[>(]) ", ""), r"([\\*_\[\]`|>])", r"\\$1")
-    return _gated(c, ~c.rlike("[<&]"), text, _html_to_markdown)
+    return _gated(c, ~c.contains("<") & ~c.contains("&"), text, _html_to_markdown)
 
 
 OPERATIONS: dict[str, Callable[..., Column]] = {

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +15,15 @@ from ..plans.planner import Step, plan
 _HELD = "__textpipe"
 
 
-def step_column(step: Step, c: Column) -> Column:
-    if step.fused:
-        return columns.trim_and_filter(c, dedupe=len(step.operations) == 3)
-    return columns.apply(step.operations[0], c)
+def step_columns(step: Step) -> list[Callable[[Column], Column]]:
+    """The projections of a step, one on the other."""
+    names = [o.name for o in step.operations]
+    if not step.fused:
+        return [partial(columns.apply, step.operations[0])]
+    if names[0] == "strip_html":
+        return [columns.strip_html_and_markdown]
+    filtered = partial(columns.trim_and_filter, collapse=names[0] == "collapse_whitespace")
+    return [filtered, columns.dedupe_lines] if names[-1] == "dedupe_lines" else [filtered]
 
 
 def transform(df: DataFrame, config: Config, column: str = "text", out: str | None = None, continuous: bool = False) -> DataFrame:
@@ -25,8 +33,8 @@ def transform(df: DataFrame, config: Config, column: str = "text", out: str | No
     """
     steps = plan(config, continuous)
     df = df.withColumn(_HELD, F.col(column).cast("string"))
-    for step in steps:
-        df = df.withColumn(_HELD, step_column(step, F.col(_HELD)))
+    for change in (change for step in steps for change in step_columns(step)):
+        df = df.withColumn(_HELD, change(F.col(_HELD)))
     if out is None or out == column:
         names = df.columns[:-1]
         return df.select(*[F.col(_HELD).alias(n) if n == column else F.col(n) for n in names])

@@ -9,7 +9,7 @@ from .config import Config, ConfigError, Operation
 
 @dataclass(frozen=True)
 class Step:
-    """One projection: a single operation, or the fused filters of lines."""
+    """A single operation, or a run of them that is done at once."""
 
     operations: tuple[Operation, ...]
     fused: bool = False
@@ -19,8 +19,14 @@ class Step:
         return "+".join(o.name for o in self.operations)
 
 
-#: Runs of operations that have one column expression, longest first.
-_FUSIBLE = (("trim_trailing_whitespace", "remove_blank_lines", "dedupe_lines"), ("trim_trailing_whitespace", "remove_blank_lines"))
+#: Runs of operations that are done at once, longest first.
+_FUSIBLE = (
+    ("collapse_whitespace", "trim_trailing_whitespace", "remove_blank_lines", "dedupe_lines"),
+    ("collapse_whitespace", "trim_trailing_whitespace", "remove_blank_lines"),
+    ("trim_trailing_whitespace", "remove_blank_lines", "dedupe_lines"),
+    ("trim_trailing_whitespace", "remove_blank_lines"),
+    ("strip_html", "strip_markdown"),
+)
 
 
 def plan(config: Config, continuous: bool = False, fuse: bool = True) -> list[Step]:
