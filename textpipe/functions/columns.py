@@ -7,8 +7,10 @@ A null text stays null.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +21,7 @@ from pyspark.sql.types import StringType
 from ..plans.config import Operation
 from . import interpreter
 from .interpreter import BRACKETS, EDGE_PUNCTUATION, TRACKERS
+from .unicode import WS_CHARS
 
 LINE_END = r"(?<!\r)\r*+\n"
 _BLANK = r"(?U)\A\s*+\z"
@@ -34,6 +37,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 # ---------------------------------------------------------------- lines
 
 
+_ASCII = " \t\n\x0b\f\r"
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(operator.or_, tests)
+
+
 def _on_spaces(c: Column, passes: Callable[[Column, str], Column]) -> Column:
     """``passes`` with what makes ``\\s`` stand for all white space: nothing for ASCII texts, whose class is a table look-up."""
     return F.when(F.octet_length(c) == F.length(c), passes(c, "")).otherwise(passes(c, "(?U)"))
@@ -62,8 +72,8 @@ def is_blank(x: Column) -> Column:
 
 
 # The first character of each pattern is a class or a newline, and look-behinds come after it: most places fail at once.
-_INLINE = r"[\s&&[^\n]]"
-_TRAILING = rf"{_INLINE}(?<!{_INLINE}{{2}}){_INLINE}*+(?=\n|\z)"
+_INLINE = {"": r"[ \t\x0B\f\r]", "(?U)": r"[\s&&[^\n]]"}
+_TRAILING = {u: rf"{u}{x}(?<!{x}{x}){x}*+(?=\n|\z)" for u, x in _INLINE.items()}
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -71,7 +81,7 @@ def collapse_whitespace(c: Column) -> Column:
 
 
 def trim_trailing_whitespace(c: Column) -> Column:
-    return _on_spaces(c, lambda x, u: F.regexp_replace(x, u + _TRAILING, ""))
+    return _on_spaces(c, lambda x, u: F.regexp_replace(x, _TRAILING[u], ""))
 
 
 def remove_blank_lines(c: Column) -> Column:
@@ -80,8 +90,12 @@ def remove_blank_lines(c: Column) -> Column:
 
     def passes(x: Column, u: str) -> Column:
         # Blank lines between others, at the start, and one at the end without a newline of its own.
-        x = F.regexp_replace(F.regexp_replace(x, u + r"\n\s*\n", "\n"), u + r"\A\s*\n", "")
-        return F.regexp_replace(F.regexp_replace(x, u + rf"\n{_INLINE}++\z", ""), u + r"\A\s++\z", "")
+        between = F.regexp_replace(x, u + r"\n\s*\n", "\n")
+        edges = F.regexp_replace(between, u + r"\A\s*\n", "")
+        edges = F.regexp_replace(F.regexp_replace(edges, u + rf"\n{_INLINE[u]}++\z", ""), u + r"\A\s++\z", "")
+        if u:
+            return edges
+        return F.when(_any([x.startswith(space) for space in _ASCII] + [x.endswith(space) for space in _ASCII if space != "\n"]), edges).otherwise(between)
 
     return F.when(c.contains("\r"), lines(c)).otherwise(_on_spaces(c, passes))
 
@@ -92,15 +106,15 @@ def trim_and_filter(c: Column, collapse: bool = False) -> Column:
     def passes(x: Column, u: str) -> Column:
         if collapse:
             x = F.regexp_replace(x, r"[ \t](?:(?<=\t)|(?=[ \t]))[ \t]*+", " ")
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, u + _TRAILING, ""), r"\n{2,}+", "\n"), r"\A\n", "")
+        return F.ltrim(F.regexp_replace(F.regexp_replace(x, _TRAILING[u], ""), r"\n{2,}+", "\n"), F.lit("\n"))
 
     return _on_spaces(c, passes)
 
 
 def unwrap_lines(c: Column) -> Column:
     def passes(x: Column, u: str) -> Column:
-        x = F.regexp_replace(F.regexp_replace(x, u + _TRAILING, ""), u + rf"\n{_INLINE}++", "\n")
-        x = F.regexp_replace(F.regexp_replace(x, u + r"\A\s++", ""), r"\n(?<!\n\n)\n*+\z", "")
+        x = F.regexp_replace(F.regexp_replace(x, _TRAILING[u], ""), u + rf"\n{_INLINE[u]}++", "\n")
+        x = F.regexp_replace(F.ltrim(x, F.lit(WS_CHARS)), r"\n(?<!\n\n)\n*+\z", "")
         return F.regexp_replace(F.regexp_replace(x, r"\n(?<!\n\n)(?!\n)", " "), r"\n{3,}+", "\n\n")
 
     return _on_spaces(c, passes)
@@ -307,9 +321,7 @@ def _gated(c: Column, plain: Column, native: Column, parsed) -> Column:
 
 def _edges(c: Column) -> Column:
     """Without the white space around it; trimming walks over the whole text, so it must have something to do."""
-    edge = c.startswith("\n") | c.endswith("\n")
-    for space in " \t\r":
-        edge = edge | c.startswith(space) | c.endswith(space)
+    edge = _any([test(space) for space in "\n \t\r" for test in (c.startswith, c.endswith)])
     return F.when(edge, F.trim(c, F.lit("\n \t\r"))).otherwise(c)
 
 
@@ -320,21 +332,22 @@ def strip_html(c: Column) -> Column:
 
 def is_plain_markdown(c: Column) -> Column:
     """Nothing but paragraphs: no mark of any construct, no white space at a line's edge but blanks at its end."""
-    plain = ~c.rlike(r"[&<>`*~\[\]()|\\#!\r]") & ~c.startswith(" ") & ~c.startswith("\t") & ~c.rlike("\n[ \t]") & ~c.rlike(r"\t *+(?:\n|\z)")
-    plain = plain & ~(c.contains("_") & c.rlike(r"_(?<![A-Za-z0-9]_)|_(?![A-Za-z0-9])"))
-    # A list's mark or a rule, at the start of the text and of a line.
-    mark, rule = r"(?:[-+]|[0-9]{1,9}\.)(?:[ \t\n]|\z)", r"[-=: ]++(?:\n|\z)"
-    return plain & ~F.left(c, F.lit(12)).rlike(r"\A" + mark) & ~c.rlike("\n" + mark) & ~c.rlike("\n" + rule) & ~(F.left(c, F.lit(1)).rlike("[-=:]") & c.rlike(r"\A" + rule))
+    # An underscore counts unless it stands between letters or digits.
+    mark = ~c.rlike(r"[&<>`*~\[\]()|\\#!\r_](?:(?<!_)|(?<![A-Za-z0-9]_)|(?![A-Za-z0-9]))")
+    edges = ~c.startswith(" ") & ~c.startswith("\t") & ~(c.contains("\t") & c.rlike(r"\t *+(?:\n|\z)"))
+    # Blanks, a list's mark or a rule, at the start of a line and of the text.
+    item, rule = r"(?:[-+]|[0-9]{1,9}\.)(?:[ \t\n]|\z)", r"[-=: ]++(?:\n|\z)"
+    first = F.left(c, F.lit(12)).rlike(r"\A" + item) | (F.left(c, F.lit(1)).rlike("[-=:]") & c.rlike(r"\A" + rule))
+    return mark & edges & ~first & ~c.rlike(rf"\n(?:[ \t]|{item}|{rule})")
 
 
 def _paragraphs(c: Column) -> Column:
-    """Plain Markdown: blanks at a paragraph's end go, two or more at a line's end break it, all other lines are joined."""
-    body = F.regexp_replace(F.when(c.endswith("\n"), F.regexp_replace(c, r"\n(?<!\n\n)\n*+\z", "")).otherwise(c), r"\A\n++", "")
-    ended = F.regexp_replace(body, r" (?<!  ) *+(?=\n(?:\n|\z)|\z)", "")
-    joined = F.regexp_replace(F.regexp_replace(ended, r" (?<!  )\n(?=[^\n])", " "), r"\n(?<![\n ]\n)(?=[^\n])", " ")
-    broken = F.regexp_replace(joined, r" (?<!  ) ++\n", "\n")
-    simple = F.regexp_replace(body, r"\n(?<!\n\n)(?=[^\n])", " ")
-    return F.regexp_replace(F.when(c.contains(" \n") | c.endswith(" "), broken).otherwise(simple), r"\n{3,}+", "\n\n")
+    """Plain Markdown: lines are joined, unless two or more blanks break them; blanks at a paragraph's end go."""
+    body = F.when(c.startswith("\n"), F.ltrim(c, F.lit("\n"))).otherwise(c)
+    joined = F.regexp_replace(body, r"\n(?<![\n ]\n)(?=[^\n])", " ")
+    # What is left of blanks and newlines: the end of the text, of a paragraph, of a broken line, of a line with one blank.
+    more = _any([c.contains("\n\n"), c.contains(" \n"), c.endswith("\n"), c.endswith(" ")])
+    return F.when(more, F.regexp_replace(joined, r"(?=[ \n])(?<![ \n])(?: *+\n*+\z| *+(\n\n)\n*+|  ++(\n)|( )\n)", "$1$2$3")).otherwise(joined)
 
 
 _strip_both = _per_text(lambda text: interpreter.strip_markdown(interpreter.strip_html(text)))
