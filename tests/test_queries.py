@@ -86,3 +86,13 @@ def test_lines_keep_open_returns(spark, tmp_path):
     (tmp_path / "closed.txt").write_bytes(b"one\r\r\ntwo\r\n")
     for name, expected in (("open.txt", ["one", "two\r\r"]), ("closed.txt", ["one", "two"])):
         assert [r.content for r in sources.read_lines(spark, str(tmp_path / name)).orderBy("line_no").collect()] == expected
+
+
+def test_large_results_become_files(spark, tmp_path):
+    given = [(1, "a" * 1025), (2, "b" * 1024), (3, None), (None, "c\n" * 1000)]
+    rows_ = sources.write_routed(spark.createDataFrame([(None if i is None else f"{i}/x", t) for i, t in given], "id string, out string"), str(tmp_path / "files"), threshold_kb=0).collect()
+    assert {r.id: (r.route, r.out) for r in rows_} == {"1/x": ("file", None), "2/x": ("inline", "b" * 1024), "3/x": ("inline", None), None: ("file", None)}
+    for row, text in ((r, {"1/x": given[0][1], None: given[3][1]}[r.id]) for r in rows_ if r.route == "file"):
+        assert [r.value for r in spark.read.text(row.file, wholetext=True).collect()] == [text + "\n"]
+    empty = sources.write_routed(spark.createDataFrame([], "id string, out string"), str(tmp_path / "none"))
+    assert empty.collect() == []

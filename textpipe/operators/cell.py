@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from ..plans.config import Config
+from ..plans.config import Config, ConfigError, parse_config
 from ..plans.planner import Step, plan
 
 _HELD = "__textpipe"
@@ -56,3 +56,23 @@ def guarded(df: DataFrame, config: Config, column: str = "text", out: str = "out
     done = transform(held, config, "__in", out, continuous)
     status = F.when(F.col(column).isNull() | (F.col(column) == ""), "empty").when(~fits, "too_large").when(F.col(out) == F.col(column), "unchanged").otherwise("transformed")
     return done.withColumn("status", status).drop("__in")
+
+
+#: Status codes of a call; 3 (an internal error) fails the job here instead.
+OK, NULL_ARGUMENT, INVALID_CONFIG, INTERNAL, TOO_LARGE, UNSUPPORTED_VERSION = range(6)
+
+
+def coded(df: DataFrame, config_json: str | None, column: str = "text", out: str = "out", most_bytes: int = 2 << 30) -> DataFrame:
+    """``out`` and a numeric ``code`` for each row, whatever the configuration is.
+
+    Checked in this order: a null configuration or text, a text beyond ``most_bytes``, the configuration's version,
+    the rest of the configuration.  ``out`` is null unless the code is 0.
+    """
+    config, failed = Config(), None
+    try:
+        config = parse_config(config_json) if config_json is not None else config
+    except ConfigError as e:
+        failed = UNSUPPORTED_VERSION if e.kind == "unsupported_version" else INVALID_CONFIG
+    code = F.when(F.lit(config_json is None) | F.col(column).isNull(), NULL_ARGUMENT).when(F.octet_length(column) > most_bytes, TOO_LARGE).otherwise(OK if failed is None else failed)
+    held = df.withColumn("code", code).withColumn("__in", F.when(F.col("code") == OK, F.col(column)))
+    return transform(held, config, "__in", out).drop("__in")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions.html import BLOCK_TAGS
 from .operators import cell, lines, sql
 from .plans.config import SPECS, Config, op
-from .sources.text import routed
+from .sources.text import routed, write_routed
 from .streaming import clipboard
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +166,20 @@ markup_query("strip_markdown", one("strip_markdown"), ("# Head *ing*\n\n**", "**
 markup_query("default_log_pipeline", Config(tuple(map(op, ("remove_blank_lines", "trim_trailing_whitespace", "collapse_whitespace", "strip_markdown", "strip_html")))), ("<div>", "  \t </div><p>", "\t</p>\n\n\n"), ("", "\n", ""))
 
 
+def escaped_query(name: str, config: Config, made: str) -> None:
+    """Whole texts, empty ones too, escaped for the markup: each line a paragraph, and the parser gives the lines back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = source(spark, sf_dir, "text").select("id", F.expr(made).alias("text"))
+        return cell.transform(rows, config, "text", "out").select("id", "out")
+
+    add(name, run, f"SELECT id, replace(x, {NL}, {NL} || {NL}) AS out FROM {duck('text')}")
+
+
+escaped_query("strip_html_whole", one("strip_html"), r"concat('<p>', replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\n', '</p><p>'), '</p>')")
+escaped_query("strip_markdown_whole", one("strip_markdown"), r"regexp_replace(replace(text, '\n', '\n\n'), '([!-/:-@\\[-`{-~])', '\\\\$1')")
+
+
 # The pages' markup in RE2: raw text and comments go, block tags become newlines (two at most in a row), other tags nothing.
 _TAGS = "|".join(sorted(BLOCK_TAGS))
 _PAGE = "html"
@@ -264,6 +278,35 @@ add(
 )
 
 
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each way a call can end: good, malformed, of another version and null configurations, null and large texts."""
+    rows = source(spark, sf_dir, "text").withColumn("text", F.expr("CASE WHEN id % 7 <> 0 THEN text END"))
+    made = None
+    for name, config in (("good", '{"version": 3, "operations": [{"op": "collapse_whitespace"}]}'), ("malformed", '{"version": 3, "operations": [{"op": "x"}]}'), ("version", '{"version": 9, "operations": []}'), ("none", None)):
+        part = cell.coded(rows, config, most_bytes=8000).select("id", F.lit(name).alias("config"), "code", F.coalesce(F.length("out"), F.lit(-1)).alias("n"))
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+add(
+    "status_codes",
+    codes,
+    f"SELECT id, config, CASE WHEN config = 'none' OR id % 7 = 0 THEN 1 WHEN strlen(x) > 8000 THEN 4 ELSE code END::INTEGER AS code, CASE WHEN config = 'good' AND id % 7 <> 0 AND strlen(x) <= 8000 THEN length(regexp_replace(x, '[ \\t]+', ' ', 'g')) ELSE -1 END::INTEGER AS n "
+    f"FROM {duck('text')}, (VALUES ('good', 0), ('malformed', 2), ('version', 5), ('none', 1)) AS c(config, code)",
+)
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large results written to files and read back beside the others."""
+    place = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows = write_routed(source(spark, sf_dir, "text"), place, column="text", threshold_kb=2)
+    back = spark.read.schema("value string, name string").text(place, wholetext=True).select(F.col("name").cast("long").alias("id"), F.expr("left(value, length(value) - 1)").alias("out"), F.lit(True).alias("in_file"))
+    return rows.where("file IS NULL").select("id", F.col("text").alias("out"), F.lit(False).alias("in_file")).unionByName(back)
+
+
+add("routed_files", filed, f"SELECT id, x AS out, strlen(x) > 2048 AS in_file FROM {duck('text')}")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipboard-like records: pages as html, documents as plain text, some marked or our own."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id * 2 AS generation", "concat('<p>page ', page_id, '</p>  <p>end</p>') AS html", "CAST(NULL AS STRING) AS rtf_text", "url AS plain", "IF(page_id % 10 = 0, array('org.nspasteboard.ConcealedType'), array()) AS markers", "IF(page_id % 10 = 1, 'textpipe', 'other') AS origin")

@@ -70,3 +70,19 @@ def best_representation(df: DataFrame) -> DataFrame:
 def routed(df: DataFrame, column: str = "out", threshold_kb: int = 512) -> DataFrame:
     """With ``route``: ``file`` for results strictly larger than the threshold (1 KB at least), else ``inline``."""
     return df.withColumn("route", F.when(F.octet_length(column) > max(1, threshold_kb) * 1024, "file").otherwise("inline"))
+
+
+def write_routed(df: DataFrame, path: str, id_col: str = "id", column: str = "out", threshold_kb: int = 512) -> DataFrame:
+    """Large results as text files below ``path/name=<id>/``, each with a newline after it; the rows with ``route`` and ``file``.
+
+    ``file`` is the folder of a large result, whose text is null in the rows; results within the threshold stay as they are.
+    Ids of other characters than letters, digits, ``. _ -`` are named by ``~`` and their bytes in hexadecimal, null ids
+    ``~null``; rows of one id share a folder.  What is there is replaced.
+    """
+    rows = routed(df, column, threshold_kb)
+    name = F.col(id_col).cast("string")
+    name = F.when(name.isNull(), "~null").when(name.rlike(r"\A[A-Za-z0-9._-]+\z"), name).otherwise(F.concat(F.lit("~"), F.hex(name.cast("binary"))))
+    large = rows.where("route = 'file'").select(name.alias("name"), F.col(column).cast("string").alias("value"))
+    large.write.mode("overwrite").partitionBy("name").text(path)
+    big = F.col("route") == "file"
+    return rows.withColumn("file", F.when(big, F.concat(F.lit(f"{path.rstrip('/')}/name="), name))).withColumn(column, F.when(~big, F.col(column)))
