@@ -158,6 +158,14 @@ def test_against_sql(spark, documents, odd, name, tmp_path):
         assert rows(got) == rows(expected), at
 
 
+def test_op2_blocks_follow_the_input(odd):
+    """More blocks than shuffle partitions, for texts beyond the bound: the same scores."""
+    few, many = backoff.scores(odd), backoff.scores(odd, block_bytes=1 << 14)
+    assert many.rdd.getNumPartitions() > few.rdd.getNumPartitions()
+    rounded = lambda df: sorted((str(r.doc_id), r.n_words, None if r.log_score is None else round(r.log_score, 6)) for r in df.collect())
+    assert rounded(many) == rounded(few)
+
+
 def test_empty_and_null(spark, odd):
     none = odd.limit(0)
     benchmark = spark.createDataFrame([], "item_id long, text string")

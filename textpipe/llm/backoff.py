@@ -17,8 +17,9 @@ of each document would be many times the size of the texts:
    logarithms per document.
 
 A block sends an n-gram once, however frequent it is, so neither a hot n-gram nor a hot
-source loads one shard; blocks and shards are as many as shuffle partitions, and grow with
-the input.
+source loads one shard.  Blocks and shards are as many as shuffle partitions, and more where
+a block would have over ``block_bytes`` of text on average: what a task holds does not grow
+with the input.  Equal ids share a block.
 
 Null and empty texts have no words and null scores.  Rows with equal ids are one document in
 the leaving-out and the result has one row for each id; null ids are one such id.
@@ -40,6 +41,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import parallelism, sliced, written
 
 ALPHA = 0.4
+#: Bytes of text in a block on average; a task holds some 20 times as much.
+BLOCK_BYTES = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 PAIRS, WORDS = 0, 1
 _PRESS, _UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -123,10 +126,11 @@ def _words(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_words, log_score`` (natural logarithm, null without words) and ``mean_log_score``."""
     spark = docs.sparkSession
-    shards = parallelism(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shards = max(parallelism(spark), -(-size // block_bytes))
     kind_of_id, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     block = F.pmod(F.xxhash64(F.lit("block"), F.col(id_col)), F.lit(shards)).cast("int")
     dealt = docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
