@@ -98,7 +98,7 @@ def test_large_results_become_files(spark, tmp_path):
     assert empty.collect() == []
 
 
-@pytest.mark.parametrize("name", ["default_log_pipeline", "html_to_markdown", "strip_html"])
+@pytest.mark.parametrize("name", ["default_log_pipeline", "html_to_markdown", "strip_html", "strip_markdown"])
 def test_markup_keeps_empty_lines(spark, tmp_path, name):
     """Lines that have no letter are empty lines of the markup queries' input, at the start, between others and at the end."""
     texts = ["12\nab", "ab\n12", "ab\n1 2\ncd\n3 4\n5 6\n7 8\nef", "1 2\n3 4", "1 2\n3 4\n5 6\nab cd\n1\n2 3\n4", "ab\ncd", "12", "é", "", None]
