@@ -484,3 +484,38 @@ def test_samples_are_bounded(spark):
     assert got.count() <= 160
     known = langid.train(df.withColumnRenamed("id", "doc_id").withColumnRenamed("model", "lang"), max_bytes=1000)
     assert known.names == ["de"]
+
+
+def test_op9_learns_from_all_trusted_documents(spark):
+    """Every count of hundreds of documents, one of them very long: the textbook's entropies and the limits of all held-back ones."""
+    rng = random.Random(12)
+    letters = "abcdefghijklm"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 4))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 40))), "aa" if i % 7 else "bb") for i in range(900)]
+    rows.append((900, " ".join(rng.choices([*words, "seltenes"], k=80_000)), "aa"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    from pyspark.sql import functions as F
+
+    back = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.lit("held back"), "doc_id"), F.lit(5)) == 0).collect()}
+    trusted = perplexity.train(docs, labels)
+    units = len({w for i, t, _ in rows if i not in back for w in t.split()})
+    plain = {k: PlainKneserNey([t.split() for i, t, lang in rows if lang == k and i not in back], 3, True, units) for k in ("aa", "bb")}
+    entropy = lambda k, t: plain[k].entropy(t.split()) / len(t.split())
+    got = {r.doc_id: r for r in perplexity.judge(docs, trusted).collect()}
+    assert len(got) == len(rows)
+    for i, text, lang in rows[::25]:
+        assert (got[i].perplexity is None) == (not text)
+        assert not text or abs(np.log(got[i].perplexity) - entropy(lang, text)) < 1e-4
+    for k, name in enumerate(trusted.names):
+        held = [(entropy(lang, t), len(t.split())) for i, t, lang in rows if i in back and lang == name and t]
+        h, n = np.array(held).T
+        centre = np.median(h)
+        assert abs(trusted.centres[k] - centre) < 1e-4
+        assert abs(trusted.limits[k] - np.quantile((h - centre) * np.sqrt(n / (n + perplexity.HALF)), perplexity.QUANTILE) - perplexity.MARGIN) < 1e-4
+    # Without a model of its own a text gets the best one's; unknown words, and none.
+    texts = ["zz yy xx", "", rows[7][1], "seltenes wort"]
+    for text, p in zip(texts, trusted.judge([None, "aa", "cc", "aa"], texts)[1]):
+        assert (p is None) == (not text)
+    free = trusted.judge([None], [rows[7][1]])[1][0]
+    assert abs(np.log(free) - min(entropy(k, rows[7][1]) for k in plain)) < 1e-4

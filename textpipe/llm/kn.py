@@ -122,7 +122,12 @@ def _hash(grams: np.ndarray) -> np.ndarray:
 
 def discounts(counts: np.ndarray, modified: bool) -> np.ndarray:
     """What is taken off a count of 0, 1, 2 and 3 or more."""
-    n = [float((counts == k).sum()) for k in range(1, 5)]
+    return discounts_of([(counts == k).sum() for k in range(1, 5)], modified)
+
+
+def discounts_of(few: list[int], modified: bool) -> np.ndarray:
+    """The same from how many counts are 1, 2, 3 and 4."""
+    n = list(map(float, few))
     y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
     if not modified:
         return np.array([0, y, y, y])
