@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from textpipe.llm import backoff, bpe, decontaminate, langid, perplexity, quality_rules, queries, simhash, simple8b, substring, urls
+from textpipe.llm import backoff, bpe, decontaminate, kn_shards, langid, perplexity, quality_rules, queries, simhash, simple8b, substring, urls
 from textpipe.llm.common import tokenizer_path
 from textpipe.llm.components import components
 from textpipe.llm.kn import Sorted
@@ -513,6 +513,9 @@ def test_op9_learns_from_all_trusted_documents(spark):
         centre = np.median(h)
         assert abs(trusted.centres[k] - centre) < 1e-4
         assert abs(trusted.limits[k] - np.quantile((h - centre) * np.sqrt(n / (n + perplexity.HALF)), perplexity.QUANTILE) - perplexity.MARGIN) < 1e-4
+    # In rounds nothing changes.
+    found, several = (sorted((r.doc_id, r.n_words, r.h and round(r.h, 6)) for r in kn_shards.entropies(docs, perplexity.units, trusted.names, trusted.counts, k).collect()) for k in (1, 3))
+    assert found == several and len(found) == len(rows)
     # Without a model of its own a text gets the best one's; unknown words, and none.
     texts = ["zz yy xx", "", rows[7][1], "seltenes wort"]
     for text, p in zip(texts, trusted.judge([None, "aa", "cc", "aa"], texts)[1]):

@@ -9,8 +9,8 @@ shards and summed in the shard of ``w``, which tells the others.  With
 
 the logarithm of a text is the sum of log P(w) over its words, which the shards of the words
 add up, and of log(A + G P(w)) - log P(w), or log G where the pair was never seen, which
-those of the middle words add up.  Only these sums come back to a document; texts are read
-once and never exchanged, and each of a chunk's grams goes to one shard as places in a list
+those of the middle words add up.  Only these sums come back to a document; texts are never
+exchanged, and each of a chunk's grams goes to one shard as places in a list
 of the words that it shares with the others.
 
 Everything is exact but for 64-bit hashes of words and sums in single precision: all grams
@@ -19,12 +19,13 @@ of all texts count, however many there are.  The driver sees a few numbers for e
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -34,6 +35,8 @@ from .kn import Units, discounts_of, padded
 
 #: Words whose grams a task holds at once, and grams that a shard merges at once.
 CHUNK, PENDING = 1 << 21, 1 << 22
+#: Rounds in which documents are scored, as far as each has these bytes of text; a round's grams go before the next one's are sent.
+ROUNDS, ROUND_BYTES = 8, 1 << 24
 #: Bytes of text for each shard on average.
 SHARD_BYTES = 1 << 24
 COUNTS, REPLY, TABLE, GRAMS, WORDS, HEAD, STATS = range(7)
@@ -56,6 +59,10 @@ def _places(data: bytes) -> np.ndarray:
     return _unpacked(data).astype(np.int64)
 
 
+def _slots(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data).astype(np.int64))
+
+
 def _ascending(words: np.ndarray) -> bytes:
     return _packed(np.diff(words, prepend=np.uint64(0)))
 
@@ -78,7 +85,7 @@ def _grams(texts: list[np.ndarray], slots: np.ndarray, shards: int) -> Iterator[
         mine = order[edges[s] : edges[s + 1]]
         w = at[mine]
         local, inverse = np.unique(np.concatenate([code[w - 2], code[w - 1], code[w]]), return_inverse=True)
-        yield s, _ascending(vocabulary[local]), _packed(inverse), _packed(slot[mine])
+        yield s, _ascending(vocabulary[local]), _packed(inverse), _packed(np.diff(slot[mine], prepend=0))
 
 
 def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -160,7 +167,7 @@ def learn(rows: DataFrame, units: Units, names: list[str], shards: int) -> Count
         for batch in batches:
             for shard, a, b, c in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5))):  # noqa: B007
                 u, v, w = _dictionary(a)[_places(b)].reshape(3, -1)
-                parts.append([_places(c), v, u, w, np.ones(len(u), dtype=np.int64)])
+                parts.append([_slots(c), v, u, w, np.ones(len(u), dtype=np.int64)])
                 pending += len(u)
                 if pending >= PENDING:
                     parts = [_merged([np.concatenate(x) for x in zip(*parts)])]
@@ -193,7 +200,7 @@ def learn(rows: DataFrame, units: Units, names: list[str], shards: int) -> Count
         n = np.stack([np.bincount(at, weights=w, minlength=len(words)) for w in np.concatenate([x for *_, x in got], axis=1)]).astype(np.int64)
         start = 0
         for of, x, _ in got:
-            yield _batch(REPLY, of, shard, _ascending(x), _packed(n[:, at[start : start + len(x)]].ravel()))
+            yield _batch(REPLY, of, shard, None, _packed(n[:, at[start : start + len(x)]].ravel()))
             start += len(x)
         yield _batch(TABLE, shard, 0, _ascending(words), _packed(n.ravel()))
         m, w = np.nonzero(n)
@@ -202,6 +209,7 @@ def learn(rows: DataFrame, units: Units, names: list[str], shards: int) -> Count
 
     grams = rows.select("model", "text").mapInArrow(send, _ROW).repartitionById(shards, F.col("shard"))
     counts = written(grams.mapInArrow(count, _ROW), "gram-counts")
+    freed(rows.sparkSession)
     words = written(counts.where(F.col("kind") == WORDS).repartitionById(shards, F.col("shard")).mapInArrow(tell, _ROW), "word-counts")
     return Counts(shards, models, counts, words)
 
@@ -245,12 +253,15 @@ class Shard:
         self.grams, self.a3 = self.grams[order], ((c - taken) / total[at])[order]
         pm, pv, pw, n = _pairs(m, v, w, size)
         self.pairs = (pm * size + pv) * size + pw
+        self.asked = np.unique(pw)
+        self.edges = np.searchsorted(_shard(self.vocabulary[self.asked], by["shards"]), np.arange(by["shards"] + 1))
         self.middles, at = np.unique(pm * size + pv, return_inverse=True)
         total, taken = np.bincount(at, weights=n), by["d2"][pm, np.minimum(n, 3)]
         self.g2, self.a2 = np.bincount(at, weights=taken) / total, (n - taken) / total[at]
 
-    def reply(self, a: bytes, b: bytes) -> None:
-        self.left[:, np.searchsorted(self.vocabulary, _dictionary(a))] = _places(b).reshape(self.by["models"], -1)
+    def reply(self, of: int, b: bytes) -> None:
+        """The words asked for, in the order in which they were sent."""
+        self.left[:, self.asked[self.edges[of] : self.edges[of + 1]]] = _places(b).reshape(self.by["models"], -1)
 
     def table(self, a: bytes, b: bytes) -> None:
         self.words, self.n = _dictionary(a), _places(b).reshape(self.by["models"], -1)
@@ -278,7 +289,19 @@ class Shard:
         return np.log(_unigram(self.by, m, n))
 
 
-def entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts) -> DataFrame:
+def entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts, rounds: int = 1) -> DataFrame:
+    """:func:`_entropies`, where there are several rounds as tables, one after the other."""
+    if rounds == 1:
+        return _entropies(docs, units, names, counts)
+    turn, found = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds)), None
+    for k in range(rounds):
+        done = written(_entropies(docs.where(turn == k), units, names, counts), "entropies")
+        freed(docs.sparkSession)
+        found = done if found is None else found.unionByName(done)
+    return found
+
+
+def _entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts) -> DataFrame:
     """``doc_id, lang, n_words, model, h`` of each row: cross-entropy by the model of its language, or by the one that fits best where it has none."""
     place, shards, by = {k: i for i, k in enumerate(names)}, counts.shards, counts.numbers()
     id_type = docs.schema["doc_id"].dataType
@@ -312,7 +335,7 @@ def entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts) -
             edges = np.searchsorted(word, owned)
             for s in np.flatnonzero(np.diff(edges)).tolist():
                 mine = slice(edges[s], edges[s + 1])
-                entry = np.concatenate([np.diff(word[mine], prepend=owned[s]), slot[mine], n[mine]])
+                entry = np.concatenate([np.diff(word[mine], prepend=owned[s]), np.diff(slot[mine], prepend=0) % len(slots), n[mine]])
                 yield full(_batch(WORDS, s, chunk, _ascending(vocabulary[owned[s] : owned[s + 1]]), _packed(entry), None, told))
 
         for batch in sliced(batches):
@@ -334,7 +357,7 @@ def entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts) -
                 if kind == COUNTS:
                     shard.counts(a, b, c)
                 elif kind == REPLY:
-                    shard.reply(a, b)
+                    shard.reply(chunk, b)
                 elif kind == TABLE:
                     shard.table(a, b)
                 elif kind == HEAD:
@@ -342,10 +365,11 @@ def entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts) -
                 else:
                     models = _places(d)
                     if kind == GRAMS:
-                        slot = _places(c)
+                        slot = _slots(c)
                         logs = shard.grams_logs(a, b, models[slot])
                     else:
                         word, slot, n = _places(b).reshape(3, -1)
+                        slot = np.cumsum(slot) % len(models)
                         logs = n * shard.word_logs(a, np.cumsum(word), models[slot])
                     sums = np.bincount(slot, weights=logs, minlength=len(models)).astype(np.float32)
                     yield full(_batch(kind, s, chunk, sums.tobytes()))
@@ -381,3 +405,14 @@ def shards_for(docs: DataFrame) -> int:
     """As many as shuffle partitions, more where the texts are large."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(parallelism(docs.sparkSession), -(-size // SHARD_BYTES))
+
+
+def rounds_for(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, min(ROUNDS, size // ROUND_BYTES))
+
+
+def freed(spark: SparkSession) -> None:
+    """What is left of exchanges that nothing reads any more goes when the JVM finds them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
