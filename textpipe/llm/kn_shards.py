@@ -20,6 +20,7 @@ of all texts count, however many there are.  The driver sees a few numbers for e
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,7 +179,7 @@ def learn(rows: DataFrame, units: Units, names: list[str], shards: int) -> Count
         vocabulary = np.unique(np.concatenate([u, v, w]))
         u, v, w = (np.searchsorted(vocabulary, x) for x in (u, v, w))
         pm, _, pw, n = _pairs(m, v, w, len(vocabulary))
-        yield _batch(COUNTS, shard, 0, _ascending(vocabulary), _packed(np.concatenate([m, v, u, w])), _packed(c))
+        yield _batch(COUNTS, shard, 0, _ascending(vocabulary), _ascending(((m * len(vocabulary) + v) * len(vocabulary) + u).astype(np.uint64)), _packed(w), _packed(c))
         yield _batch(STATS, shard, 0, np.stack([_few(pm, n, models), _few(m, c, models)]).astype(np.int64).tobytes())
         # Distinct words to the left of each word, of those in this shard.
         known, at = np.unique(pw, return_inverse=True)
@@ -239,11 +240,12 @@ class Shard:
         self.left = np.zeros((by["models"], 0), dtype=np.int64)
         self.n = np.zeros((by["models"], 0), dtype=np.int64)
 
-    def counts(self, a: bytes, b: bytes, c: bytes) -> None:
+    def counts(self, a: bytes, b: bytes, c: bytes, d: bytes) -> None:
         by = self.by
-        self.vocabulary, c = _dictionary(a), _places(c)
-        m, v, u, w = _places(b).reshape(4, -1)
+        self.vocabulary, w, c = _dictionary(a), _places(c), _places(d)
         size = len(self.vocabulary)
+        rest, u = np.divmod(_dictionary(b).astype(np.int64), size)
+        m, v = np.divmod(rest, size)
         self.left = np.zeros((by["models"], size), dtype=np.int64)
         self.contexts, at = np.unique((m * size + v) * size + u, return_inverse=True)
         total, taken = np.bincount(at, weights=c), by["d3"][m, np.minimum(c, 3)]
@@ -355,7 +357,7 @@ def _entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts)
             for i in range(batch.num_rows):
                 kind, s, chunk, a, b, c, d = (batch.column(j)[i].as_py() for j in range(7))
                 if kind == COUNTS:
-                    shard.counts(a, b, c)
+                    shard.counts(a, b, c, d)
                 elif kind == REPLY:
                     shard.reply(chunk, b)
                 elif kind == TABLE:
@@ -413,6 +415,8 @@ def rounds_for(docs: DataFrame) -> int:
 
 
 def freed(spark: SparkSession) -> None:
-    """What is left of exchanges that nothing reads any more goes when the JVM finds them unused."""
+    """What is left of exchanges that nothing reads any more goes: the JVM hears of objects let go here a moment later, and executors of what it finds unused."""
     gc.collect()
+    time.sleep(1)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
