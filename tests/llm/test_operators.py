@@ -486,6 +486,24 @@ def test_samples_are_bounded(spark):
     assert known.names == ["de"]
 
 
+def test_op9_rounds_exchange_every_gram_once(spark):
+    """Rounds share out the shards, none sends what another one sent; repeated rows, shared and null ids, and texts without words keep their rows."""
+    rows = [(1, "to be or not to be", "en"), (1, "to be or not to be", "en"), (1, "to see or not to see", "en"), (None, "to be or", None), (None, "to be or", None), (2, "", "en"), (3, None, None), (4, "sein oder nicht sein", "de"), (5, "neu to sein be", "xx")] * 2
+    texts = [perplexity.units(t) for _, t, _ in rows if t]
+    turns = kn_shards._turns(7, 3)
+    assert [s for turn in turns for s in turn] == list(range(7))
+    whole, parts = (sorted(x for turn in given for x in kn_shards._grams(texts, np.arange(len(texts)), 7, turn)) for given in ([range(7)], turns))
+    assert whole == parts and len({s for s, *_ in whole}) > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learnt = docs.where("lang IN ('de', 'en')").selectExpr("lang AS model", "text")
+    results = []
+    for learning, rounds in ((1, 1), (2, 3)):
+        counts = kn_shards.learn(learnt, perplexity.units, ["de", "en"], 7, learning)
+        found = kn_shards.entropies(docs, perplexity.units, ["de", "en"], counts, rounds).collect()
+        results.append(sorted((str(r.doc_id), str(r.lang), r.n_words, str(r.model), round(r.h or 0.0, 6)) for r in found))
+    assert len(results[0]) == len(rows) and results[0] == results[1]
+
+
 def test_op9_learns_from_all_trusted_documents(spark):
     """Every count of hundreds of documents, one of them very long: the textbook's entropies and the limits of all held-back ones."""
     rng = random.Random(12)

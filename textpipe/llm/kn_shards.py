@@ -13,6 +13,11 @@ those of the middle words add up.  Only these sums come back to a document; text
 exchanged, and each of a chunk's grams goes to one shard as places in a list
 of the words that it shares with the others.
 
+Where there is much text, shards take turns: a round reads all texts, but only the grams and
+counts of its own shards are exchanged, and they go before the next round's are sent.  All
+rounds together exchange every gram and every count once; what each found of a document is
+added up by the document's id, language and text.
+
 Everything is exact but for 64-bit hashes of words and sums in single precision: all grams
 of all texts count, however many there are.  The driver sees a few numbers for each model.
 """
@@ -22,6 +27,7 @@ from __future__ import annotations
 import gc
 import time
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +42,8 @@ from .kn import Units, discounts_of, padded
 
 #: Words whose grams a task holds at once, and grams that a shard merges at once.
 CHUNK, PENDING = 1 << 21, 1 << 22
-#: Rounds in which documents are scored, as far as each has these bytes of text; a round's grams go before the next one's are sent.
-ROUNDS, ROUND_BYTES = 8, 1 << 24
+#: Rounds in which shards take turns, at most, and bytes of text for each.
+ROUNDS, ROUND_BYTES = 5, 1 << 26
 #: Bytes of text for each shard on average.
 SHARD_BYTES = 1 << 24
 COUNTS, REPLY, TABLE, GRAMS, WORDS, HEAD, STATS = range(7)
@@ -72,21 +78,29 @@ def _dictionary(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data), dtype=np.uint64)
 
 
-def _grams(texts: list[np.ndarray], slots: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """For each shard its words, the places in them of all u, all v and all w, and the slot of each gram."""
+def _turns(shards: int, rounds: int) -> list[range]:
+    """The shards of each round."""
+    edges = [shards * k // rounds for k in range(rounds + 1)]
+    return [range(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def _grams(texts: list[np.ndarray], slots: np.ndarray, shards: int, turn: range) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """For each shard of the turn its words, the places in them of all u, all v and all w, and the slot of each gram."""
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
     stream = np.concatenate([padded(x, 3) for x in texts])
-    vocabulary, code = np.unique(stream, return_inverse=True)
     slot = np.repeat(slots, lengths)
     at = np.arange(len(slot)) + 2 * np.repeat(np.arange(1, len(texts) + 1), lengths)
-    shard = _shard(vocabulary, shards).astype(np.int64)[code[at - 1]]
+    shard = _shard(stream[at - 1], shards).astype(np.int64)
+    if len(turn) < shards:
+        now = np.flatnonzero((shard >= turn.start) & (shard < turn.stop))
+        at, slot, shard = at[now], slot[now], shard[now]
     order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(edges)).tolist():
-        mine = order[edges[s] : edges[s + 1]]
+    edges = np.searchsorted(shard[order], np.arange(turn.start, turn.stop + 1))
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        mine = order[edges[i] : edges[i + 1]]
         w = at[mine]
-        local, inverse = np.unique(np.concatenate([code[w - 2], code[w - 1], code[w]]), return_inverse=True)
-        yield s, _ascending(vocabulary[local]), _packed(inverse), _packed(np.diff(slot[mine], prepend=0))
+        words, inverse = np.unique(np.concatenate([stream[w - 2], stream[w - 1], stream[w]]), return_inverse=True)
+        yield turn.start + i, _ascending(words), _packed(inverse), _packed(np.diff(slot[mine], prepend=0))
 
 
 def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -117,8 +131,9 @@ def _pairs(m: np.ndarray, v: np.ndarray, w: np.ndarray, size: int) -> tuple[np.n
 class Counts:
     """What :func:`learn` counted, in tables by shard, and the few numbers of each model that all shards need."""
 
-    def __init__(self, shards: int, models: int, counts: DataFrame, words: DataFrame):
-        self.shards, self.models, self.units = shards, models, 0
+    def __init__(self, shards: int, models: int, tables: list[DataFrame], words: DataFrame):
+        self.shards, self.models, self.units, self.tables = shards, models, 0, [*tables, words]
+        counts = reduce(DataFrame.unionByName, tables)
         high, low = np.zeros((2, models, 4), dtype=np.int64), np.zeros((models, 6), dtype=np.int64)
         for r in counts.where(F.col("kind") == STATS).select("a").toLocalIterator():
             high += np.frombuffer(r.a, dtype=np.int64).reshape(high.shape)
@@ -132,7 +147,7 @@ class Counts:
         self.rows = counts.where(F.col("kind") == COUNTS).unionByName(words.where(F.col("kind").isin(REPLY, TABLE)))
 
     def numbers(self) -> dict[str, object]:
-        return {k: v for k, v in vars(self).items() if k != "rows"}
+        return {k: v for k, v in vars(self).items() if k not in ("rows", "tables")}
 
 
 def _unigram(by: dict, m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -140,15 +155,15 @@ def _unigram(by: dict, m: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (n - by["d1"][m, np.minimum(n, 3)]) / np.maximum(by["total"][m], 1) + by["lost"][m] / (by["units"] + 1.0)
 
 
-def learn(rows: DataFrame, units: Units, names: list[str], shards: int) -> Counts:
+def learn(rows: DataFrame, units: Units, names: list[str], shards: int, rounds: int = 1) -> Counts:
     """Counts of all rows ``model, text``; ``names`` are the models."""
     place, models = {k: i for i, k in enumerate(names)}, len(names)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(turn: range, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for s, *parts in _grams(held, np.array(of), shards):
+            for s, *parts in _grams(held, np.array(of), shards, turn):
                 yield _batch(GRAMS, s, 0, *parts)
 
         for batch in sliced(batches):
@@ -208,11 +223,12 @@ def learn(rows: DataFrame, units: Units, names: list[str], shards: int) -> Count
         few = _few(m, n[m, w], models)
         yield _batch(STATS, shard, len(words), np.column_stack([few, (n >= 3).sum(axis=1), n.sum(axis=1)]).astype(np.int64).tobytes())
 
-    grams = rows.select("model", "text").mapInArrow(send, _ROW).repartitionById(shards, F.col("shard"))
-    counts = written(grams.mapInArrow(count, _ROW), "gram-counts")
-    freed(rows.sparkSession)
-    words = written(counts.where(F.col("kind") == WORDS).repartitionById(shards, F.col("shard")).mapInArrow(tell, _ROW), "word-counts")
-    return Counts(shards, models, counts, words)
+    tables = []
+    for turn in _turns(shards, rounds):
+        grams = rows.select("model", "text").mapInArrow(partial(send, turn), _ROW)
+        tables.append(passing(grams.repartitionById(len(turn), F.col("shard") - turn.start).mapInArrow(count, _ROW), "gram-counts"))
+    words = passing(reduce(DataFrame.unionByName, tables).where(F.col("kind") == WORDS).repartitionById(shards, F.col("shard")).mapInArrow(tell, _ROW), "word-counts")
+    return Counts(shards, models, tables, words)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray, live: np.ndarray) -> np.ndarray:
@@ -292,27 +308,30 @@ class Shard:
 
 
 def entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts, rounds: int = 1) -> DataFrame:
-    """:func:`_entropies`, where there are several rounds as tables, one after the other."""
-    if rounds == 1:
-        return _entropies(docs, units, names, counts)
-    turn, found = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds)), None
-    for k in range(rounds):
-        done = written(_entropies(docs.where(turn == k), units, names, counts), "entropies")
-        freed(docs.sparkSession)
-        found = done if found is None else found.unionByName(done)
-    return found
-
-
-def _entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts) -> DataFrame:
-    """``doc_id, lang, n_words, model, h`` of each row: cross-entropy by the model of its language, or by the one that fits best where it has none."""
+    """``doc_id, lang, n_words, model, h`` of each row: cross-entropy by the model of its language, or by the one that fits best where it has none.
+
+    Where there are several rounds they are done at once, one after the other, and nothing reads the counts after them.
+    """
+    turns = _turns(counts.shards, rounds)
+    found = [_sums(docs, units, names, counts, turn) for turn in turns] if len(turns) == 1 else [passing(_sums(docs, units, names, counts, turn), "sums") for turn in turns]
+    # Equal rows have equal sums: each round has a row for every copy.
+    own = ["doc_id", "lang", "same", "n_words"]
+    each = reduce(DataFrame.unionByName, found).groupBy(*own, "model").agg(F.sum("log").alias("log"), (F.count("*") / len(turns)).alias("copies"))
+    h = F.when(F.col("model").isNotNull(), -F.col("log") / F.col("copies") / F.col("n_words"))
+    best = each.groupBy(*own).agg(F.min(F.struct(h.alias("h"), "model")).alias("best"), F.max(F.col("copies").cast("int")).alias("copies"))
+    return best.select("doc_id", "lang", "n_words", F.col("best.model").alias("model"), F.col("best.h").alias("h"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
+
+
+def _sums(docs: DataFrame, units: Units, names: list[str], counts: Counts, turn: range) -> DataFrame:
+    """``doc_id, lang, same, n_words, model, log`` of each row and model that scores it: what the turn's shards add to the logarithm; ``same`` is a hash of the text."""
     place, shards, by = {k: i for i, k in enumerate(names)}, counts.shards, counts.numbers()
     id_type = docs.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
-    heads = {"ids": pa.list_(arrow_id), "langs": pa.list_(pa.string()), "lengths": pa.list_(pa.int64())}
-    schema = f"{_ROW}, ids array<{id_type.simpleString()}>, langs array<string>, lengths array<bigint>"
+    heads = {"ids": pa.list_(arrow_id), "langs": pa.list_(pa.string()), "same": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64())}
+    schema = f"{_ROW}, ids array<{id_type.simpleString()}>, langs array<string>, same array<bigint>, lengths array<bigint>"
 
     def full(batch: pa.RecordBatch, *lists) -> pa.RecordBatch:
-        lists = lists or [None] * 3
+        lists = lists or [None] * 4
         return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x], t) for x, t in zip(lists, heads.values())]], names=[*_NAMES, *heads])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,28 +341,33 @@ def _entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts)
         def flush() -> Iterator[pa.RecordBatch]:
             lengths = [len(x) for *_, x in rows]
             # A text with a model has one slot, another one for each model.
-            slots = [(i, k) for i, (_, lang, x) in enumerate(rows) if len(x) for k in ([place[lang]] if lang in place else range(len(names)))]
+            slots = [(i, k) for i, (_, lang, _, x) in enumerate(rows) if len(x) for k in ([place[lang]] if lang in place else range(len(names)))]
             of, models = np.array([i for i, _ in slots], dtype=np.int64), np.array([k for _, k in slots], dtype=np.int64)
-            yield full(_batch(HEAD, chunk % shards, chunk, _packed(of), _packed(models)), [d for d, *_ in rows], [x for _, x, _ in rows], lengths)
+            yield full(_batch(HEAD, turn[chunk % len(turn)], chunk, _packed(of), _packed(models)), *([row[j] for row in rows] for j in range(3)), lengths)
             if not slots:
                 return
-            texts, told = [rows[i][2] for i in of], _packed(models)
-            for s, *parts in _grams(texts, np.arange(len(slots)), shards):
+            texts, told = [rows[i][3] for i in of], _packed(models)
+            for s, *parts in _grams(texts, np.arange(len(slots)), shards, turn):
                 yield full(_batch(GRAMS, s, chunk, *parts, told))
-            vocabulary, code = np.unique(np.concatenate(texts), return_inverse=True)
-            key, n = np.unique(np.repeat(np.arange(len(slots)), [len(x) for x in texts]) + code * len(slots), return_counts=True)
+            words, of = np.concatenate(texts), np.repeat(np.arange(len(slots)), [len(x) for x in texts])
+            if len(turn) < shards:
+                shard = _shard(words, shards)
+                now = np.flatnonzero((shard >= turn.start) & (shard < turn.stop))
+                words, of = words[now], of[now]
+            vocabulary, code = np.unique(words, return_inverse=True)
+            key, n = np.unique(of + code * len(slots), return_counts=True)
             word, slot = np.divmod(key, len(slots))
-            owned = np.searchsorted(_shard(vocabulary, shards), np.arange(shards + 1))
+            owned = np.searchsorted(_shard(vocabulary, shards), np.arange(turn.start, turn.stop + 1))
             edges = np.searchsorted(word, owned)
-            for s in np.flatnonzero(np.diff(edges)).tolist():
-                mine = slice(edges[s], edges[s + 1])
-                entry = np.concatenate([np.diff(word[mine], prepend=owned[s]), np.diff(slot[mine], prepend=0) % len(slots), n[mine]])
-                yield full(_batch(WORDS, s, chunk, _ascending(vocabulary[owned[s] : owned[s + 1]]), _packed(entry), None, told))
+            for i in np.flatnonzero(np.diff(edges)).tolist():
+                mine = slice(edges[i], edges[i + 1])
+                entry = np.concatenate([np.diff(word[mine], prepend=owned[i]), np.diff(slot[mine], prepend=0) % len(slots), n[mine]])
+                yield full(_batch(WORDS, turn.start + i, chunk, _ascending(vocabulary[owned[i] : owned[i + 1]]), _packed(entry), None, told))
 
         for batch in sliced(batches):
-            for d, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for d, lang, same, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = units(text)
-                rows.append((d, lang, found))
+                rows.append((d, lang, same, found))
                 size += len(found) * (1 if lang in place else len(names)) + 16
                 if size >= CHUNK:
                     yield from flush()
@@ -383,40 +407,47 @@ def _entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts)
             for i in range(batch.num_rows):
                 kind, chunk, a = (batch.column(j)[i].as_py() for j in (0, 2, 3))
                 if kind == HEAD:
-                    head[chunk] = a, batch.column(4)[i].as_py(), *(batch.column(j)[i].values for j in (7, 8, 9))
+                    head[chunk] = a, batch.column(4)[i].as_py(), *(batch.column(j)[i].values for j in (7, 8, 9, 10))
                 else:
                     more = np.frombuffer(a, dtype=np.float32).astype(np.float64)
                     sums[chunk] = sums[chunk] + more if chunk in sums else more
-        for chunk, (of, models, ids, langs, lengths) in head.items():
-            of, models, n = _places(of), _places(models), lengths.to_numpy()
-            h, model = np.full(len(n), np.inf), np.full(len(n), -1)
-            if len(of):
-                mine = -sums[chunk] / n[of]
-                order = np.lexsort((models, mine, of))
-                first = order[np.unique(of[order], return_index=True)[1]]
-                h[of[first]], model[of[first]] = mine[first], models[first]
-            yield pa.RecordBatch.from_arrays([ids, langs, lengths, pa.array(model, pa.int32(), mask=model < 0), pa.array(h, pa.float64(), mask=model < 0)], names=["doc_id", "lang", "n_words", "model", "h"])
-
-    sent = docs.select("doc_id", "lang", "text").mapInArrow(send, schema).unionByName(counts.rows, allowMissingColumns=True)
-    summed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind").mapInArrow(add, schema)
+        for chunk, (of, models, ids, langs, same, lengths) in head.items():
+            # A row for each slot, and one for each text without words.
+            of, models, none = _places(of), _places(models), np.flatnonzero(lengths.to_numpy() == 0)
+            at, model = pa.array(np.concatenate([of, none])), np.concatenate([models, np.full(len(none), -1)])
+            log = np.zeros(len(model))
+            if chunk in sums:
+                log[: len(of)] = sums[chunk]
+            yield pa.RecordBatch.from_arrays([*(x.take(at) for x in (ids, langs, same, lengths)), pa.array(model, pa.int32(), mask=model < 0), pa.array(log)], names=["doc_id", "lang", "same", "n_words", "model", "log"])
+
+    here = F.col("shard").between(turn.start, turn.stop - 1)
+    sent = docs.select("doc_id", "lang", F.xxhash64("text").alias("same"), "text").mapInArrow(send, schema).unionByName(counts.rows.where(here), allowMissingColumns=True)
+    summed = sent.repartitionById(len(turn), F.col("shard") - turn.start).sortWithinPartitions("kind").mapInArrow(add, schema)
     back = F.pmod(F.xxhash64("chunk"), F.lit(shards)).cast("int")
-    return summed.repartitionById(shards, back).mapInArrow(gather, f"doc_id {id_type.simpleString()}, lang string, n_words long, model int, h double")
+    return summed.repartitionById(shards, back).mapInArrow(gather, f"doc_id {id_type.simpleString()}, lang string, same long, n_words long, model int, log double")
+
 
+def bytes_of(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-def shards_for(docs: DataFrame) -> int:
+
+def shards_for(docs: DataFrame, size: int) -> int:
     """As many as shuffle partitions, more where the texts are large."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(parallelism(docs.sparkSession), -(-size // SHARD_BYTES))
 
 
-def rounds_for(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def rounds_for(size: int) -> int:
     return max(1, min(ROUNDS, size // ROUND_BYTES))
 
 
-def freed(spark: SparkSession) -> None:
-    """What is left of exchanges that nothing reads any more goes: the JVM hears of objects let go here a moment later, and executors of what it finds unused."""
-    gc.collect()
-    time.sleep(1)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+def passing(df: DataFrame, label: str) -> DataFrame:
+    """:func:`written`, after which the exchanges that it took go, as nothing else reads ``df``."""
+    found = written(df, label)
+    del df
+    # The JVM hears of objects let go here a moment later, and executors of what it then finds unused: a single collection leaves the exchanges.
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        found.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+    return found
