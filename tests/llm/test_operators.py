@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -504,6 +505,32 @@ def test_op9_rounds_exchange_every_gram_once(spark):
     assert len(results[0]) == len(rows) and results[0] == results[1]
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_op9_rows_do_not_grow_with_rounds(spark, monkeypatch, again):
+    """However many rounds, a document reaches the sums once; where each round reads in another order, results are the same."""
+    rows = [(i // 2 or None, " ".join(f"w{(i // 2) * k % 11}" for k in range(i % 9)), ("en", "de", None)[i % 3]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+
+    def mixed_up(batches):
+        for batch in batches:
+            yield batch.take(pa.array(random.SystemRandom().sample(range(batch.num_rows), batch.num_rows), pa.int64()))
+
+    read = docs.mapInArrow(mixed_up, docs.schema) if again else docs
+    counts = kn_shards.learn(docs.where("lang IS NOT NULL").selectExpr("lang AS model", "text"), perplexity.units, ["de", "en"], 7)
+    grouped, kept = [], type(docs).groupBy
+    monkeypatch.setattr(type(docs), "groupBy", lambda self, *cols: (grouped.append((cols, self)), kept(self, *cols))[1])
+    found, taken = [], []
+    for rounds in (1, 4):
+        got = kn_shards.entropies(read, perplexity.units, ["de", "en"], counts, rounds)
+        taken.append(next(df for cols, df in grouped if "model" in cols))
+        grouped.clear()
+        found.append(sorted((str(r.doc_id), str(r.lang), r.n_words, str(r.model), round(r.h or 0.0, 5)) for r in got.collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    slots = sum(2 if lang is None and text else 1 for _, text, lang in rows)
+    assert taken[0].count() == slots
+    assert again or taken[1].count() == slots
+
+
 def test_op9_learns_from_all_trusted_documents(spark):
     """Every count of hundreds of documents, one of them very long: the textbook's entropies and the limits of all held-back ones."""
     rng = random.Random(12)

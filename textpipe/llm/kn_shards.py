@@ -15,8 +15,10 @@ of the words that it shares with the others.
 
 Where there is much text, shards take turns: a round reads all texts, but only the grams and
 counts of its own shards are exchanged, and they go before the next round's are sent.  All
-rounds together exchange every gram and every count once; what each found of a document is
-added up by the document's id, language and text.
+rounds together exchange every gram and every count once.  What each found is kept by chunk,
+and added up before it becomes a row for each document, so that rows do not grow with the
+rounds.  Only chunks that a round read in another order than others have rows of their own,
+which are added up by the document's id, language and text.
 
 Everything is exact but for 64-bit hashes of words and sums in single precision: all grams
 of all texts count, however many there are.  The driver sees a few numbers for each model.
@@ -314,21 +316,58 @@ def entropies(docs: DataFrame, units: Units, names: list[str], counts: Counts, r
     """
     turns = _turns(counts.shards, rounds)
     found = [_sums(docs, units, names, counts, turn) for turn in turns] if len(turns) == 1 else [passing(_sums(docs, units, names, counts, turn), "sums") for turn in turns]
-    # Equal rows have equal sums: each round has a row for every copy.
+    # Equal rows have equal sums: each copy was in every round.
     own = ["doc_id", "lang", "same", "n_words"]
-    each = reduce(DataFrame.unionByName, found).groupBy(*own, "model").agg(F.sum("log").alias("log"), (F.count("*") / len(turns)).alias("copies"))
+    each = _by_document(found, counts.shards).groupBy(*own, "model").agg(F.sum("log").alias("log"), (F.sum("rounds") / len(turns)).alias("copies"))
     h = F.when(F.col("model").isNotNull(), -F.col("log") / F.col("copies") / F.col("n_words"))
     best = each.groupBy(*own).agg(F.min(F.struct(h.alias("h"), "model")).alias("best"), F.max(F.col("copies").cast("int")).alias("copies"))
     return best.select("doc_id", "lang", "n_words", F.col("best.model").alias("model"), F.col("best.h").alias("h"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
 
 
+def _by_document(found: list[DataFrame], shards: int) -> DataFrame:
+    """``doc_id, lang, same, n_words, model, log, rounds`` of each row and model that scores it, of what :func:`_sums` found in some rounds.
+
+    A chunk that was the same in all rounds has one row for each of its texts, whatever the number of rounds.
+    """
+    id_type = found[0].schema["ids"].dataType.elementType
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By chunk what its texts were, most often once; with the sums and in how many rounds.
+        held: dict[int, list[list]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, of, models, log = (batch.column(j)[i].as_py() for j in range(4))
+                head, log = (of, models, *(batch.column(j)[i].values for j in range(4, 8))), np.frombuffer(log, dtype=np.float64)
+                mine = held.setdefault(chunk, [])
+                for other in mine:
+                    if other[0][:2] == head[:2] and all(x.equals(y) for x, y in zip(other[0][2:], head[2:])):
+                        other[1], other[2] = other[1] + log, other[2] + 1
+                        break
+                else:
+                    mine.append([head, log, 1])
+        for (of, models, ids, langs, same, lengths), log, rounds in (x for mine in held.values() for x in mine):
+            # A row for each slot, and one for each text without words.
+            of, models, none = _places(of), _places(models), np.flatnonzero(lengths.to_numpy() == 0)
+            at, model = pa.array(np.concatenate([of, none])), np.concatenate([models, np.full(len(none), -1)])
+            log = np.concatenate([log, np.zeros(len(none))])
+            yield pa.RecordBatch.from_arrays([*(x.take(at) for x in (ids, langs, same, lengths)), pa.array(model, pa.int32(), mask=model < 0), pa.array(log), pa.array(np.full(len(log), rounds), pa.int32())], names=["doc_id", "lang", "same", "n_words", "model", "log", "rounds"])
+
+    # A single round has each chunk once.
+    chunks = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).repartition(shards, "chunk")
+    return chunks.mapInArrow(spread, f"doc_id {id_type.simpleString()}, lang string, same long, n_words long, model int, log double, rounds int")
+
+
 def _sums(docs: DataFrame, units: Units, names: list[str], counts: Counts, turn: range) -> DataFrame:
-    """``doc_id, lang, same, n_words, model, log`` of each row and model that scores it: what the turn's shards add to the logarithm; ``same`` is a hash of the text."""
+    """``chunk, of, models, log, ids, langs, same, lengths`` of each chunk of rows.
+
+    ``of`` and ``models`` are the text and model of its slots, ``log`` what the turn's shards add to the logarithm of each; ``same`` is a hash of a text.
+    """
     place, shards, by = {k: i for i, k in enumerate(names)}, counts.shards, counts.numbers()
     id_type = docs.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
     heads = {"ids": pa.list_(arrow_id), "langs": pa.list_(pa.string()), "same": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64())}
-    schema = f"{_ROW}, ids array<{id_type.simpleString()}>, langs array<string>, same array<bigint>, lengths array<bigint>"
+    listed = f"ids array<{id_type.simpleString()}>, langs array<string>, same array<bigint>, lengths array<bigint>"
+    schema = f"{_ROW}, {listed}"
 
     def full(batch: pa.RecordBatch, *lists) -> pa.RecordBatch:
         lists = lists or [None] * 4
@@ -411,20 +450,16 @@ def _sums(docs: DataFrame, units: Units, names: list[str], counts: Counts, turn:
                 else:
                     more = np.frombuffer(a, dtype=np.float32).astype(np.float64)
                     sums[chunk] = sums[chunk] + more if chunk in sums else more
-        for chunk, (of, models, ids, langs, same, lengths) in head.items():
-            # A row for each slot, and one for each text without words.
-            of, models, none = _places(of), _places(models), np.flatnonzero(lengths.to_numpy() == 0)
-            at, model = pa.array(np.concatenate([of, none])), np.concatenate([models, np.full(len(none), -1)])
-            log = np.zeros(len(model))
-            if chunk in sums:
-                log[: len(of)] = sums[chunk]
-            yield pa.RecordBatch.from_arrays([*(x.take(at) for x in (ids, langs, same, lengths)), pa.array(model, pa.int32(), mask=model < 0), pa.array(log)], names=["doc_id", "lang", "same", "n_words", "model", "log"])
+        for chunk, (of, models, *lists) in head.items():
+            # The turn may have no shard of these texts' words.
+            log = sums[chunk] if chunk in sums else np.zeros(len(_places(of)))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (of, models, log.tobytes())), *(pa.array([x], t) for x, t in zip(lists, heads.values()))], names=["chunk", "of", "models", "log", *heads])
 
     here = F.col("shard").between(turn.start, turn.stop - 1)
     sent = docs.select("doc_id", "lang", F.xxhash64("text").alias("same"), "text").mapInArrow(send, schema).unionByName(counts.rows.where(here), allowMissingColumns=True)
     summed = sent.repartitionById(len(turn), F.col("shard") - turn.start).sortWithinPartitions("kind").mapInArrow(add, schema)
     back = F.pmod(F.xxhash64("chunk"), F.lit(shards)).cast("int")
-    return summed.repartitionById(shards, back).mapInArrow(gather, f"doc_id {id_type.simpleString()}, lang string, same long, n_words long, model int, log double")
+    return summed.repartitionById(shards, back).mapInArrow(gather, f"chunk long, of binary, models binary, log binary, {listed}")
 
 
 def bytes_of(docs: DataFrame) -> int:

@@ -80,7 +80,7 @@ def words(data: np.ndarray, separates: np.ndarray = SPACE) -> tuple[np.ndarray,
     return start, end, mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def _pieces(data: np.ndarray, separates: np.ndarray) -> Iterator[tuple[int, int]]:
+def pieces(data: np.ndarray, separates: np.ndarray) -> Iterator[tuple[int, int]]:
     """Parts of at most ``BYTES`` that end at a separator (longer where a single word is)."""
     at = 0
     while at < len(data):
@@ -119,7 +119,7 @@ class Words:
             to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + BYTES, side="right")) - 1)
             low, high = int(self.offsets[at]), int(self.offsets[to])
             if to == at + 1:
-                for a, b in _pieces(self.data[low:high], separates):
+                for a, b in pieces(self.data[low:high], separates):
                     start, end, h = words(self.data[low + a : low + b], separates)
                     parts.append((start + (low + a), end + (low + a), h))
             else:
