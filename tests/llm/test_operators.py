@@ -505,6 +505,18 @@ def test_op9_rounds_exchange_every_gram_once(spark):
     assert len(results[0]) == len(rows) and results[0] == results[1]
 
 
+def test_op9_numbers_tell_words_apart():
+    """One number for each word, in any company and of any length: equal words and no others have equal ones."""
+    rng = random.Random(7)
+    texts = ["", None, " ", "a\x0bb\x1cc", "a", "a\x00", "a\x00\x00", "Ünï ÄB", *("a" * n for n in (8, 9, 16, 17, 64, 65, 1000))]
+    texts += ["".join(rng.choices("abAB \n\x00é", k=rng.randrange(200))) for _ in range(1000)] + ["".join(rng.choices("ab", k=rng.randrange(1, 150))) for _ in range(1000)]
+    words, numbers = [(t or "").encode().lower().split() for t in texts], perplexity.units.many(texts)
+    assert [len(x) for x in words] == [len(x) for x in numbers]
+    assert all((perplexity.units(t) == x).all() for t, x in zip(texts, numbers))
+    words, numbers = [w for x in words for w in x], np.concatenate(numbers).tolist()
+    assert len(set(words)) == len(set(numbers)) == len(set(zip(words, numbers)))
+
+
 @pytest.mark.parametrize("again", [False, True])
 def test_op9_rows_do_not_grow_with_rounds(spark, monkeypatch, again):
     """However many rounds, a document reaches the sums once; where each round reads in another order, results are the same."""

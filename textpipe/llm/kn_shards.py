@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .backoff import _packed, _shard, _unpacked
 from .common import parallelism, sliced, written
-from .kn import Units, discounts_of, padded
+from .kn import Units, discounts_of
 
 #: Words whose grams a task holds at once, and grams that a shard merges at once.
 CHUNK, PENDING = 1 << 21, 1 << 22
@@ -80,6 +80,12 @@ def _dictionary(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data), dtype=np.uint64)
 
 
+def _numbers(units: Units, texts: list[str | None]) -> list[np.ndarray]:
+    """The units of each text, in one call where they have one for many."""
+    many = getattr(units, "many", None)
+    return many(texts) if many else [units(x) for x in texts]
+
+
 def _turns(shards: int, rounds: int) -> list[range]:
     """The shards of each round."""
     edges = [shards * k // rounds for k in range(rounds + 1)]
@@ -89,9 +95,11 @@ def _turns(shards: int, rounds: int) -> list[range]:
 def _grams(texts: list[np.ndarray], slots: np.ndarray, shards: int, turn: range) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """For each shard of the turn its words, the places in them of all u, all v and all w, and the slot of each gram."""
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
-    stream = np.concatenate([padded(x, 3) for x in texts])
     slot = np.repeat(slots, lengths)
     at = np.arange(len(slot)) + 2 * np.repeat(np.arange(1, len(texts) + 1), lengths)
+    # Two zeros before each text.
+    stream = np.zeros(len(at) + 2 * len(texts), dtype=np.uint64)
+    stream[at] = np.concatenate(texts)
     shard = _shard(stream[at - 1], shards).astype(np.int64)
     if len(turn) < shards:
         now = np.flatnonzero((shard >= turn.start) & (shard < turn.stop))
@@ -169,8 +177,7 @@ def learn(rows: DataFrame, units: Units, names: list[str], shards: int, rounds:
                 yield _batch(GRAMS, s, 0, *parts)
 
         for batch in sliced(batches):
-            for model, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = units(text)
+            for model, found in zip(batch.column(0).to_pylist(), _numbers(units, batch.column(1).to_pylist())):
                 if len(found):
                     held.append(found), of.append(place[model])
                     size += len(found)
@@ -290,6 +297,9 @@ class Shard:
         """What each gram adds to the logarithm of its last word's own probability."""
         words, size = _dictionary(a), max(1, len(self.vocabulary))
         u, v, w = _find(self.vocabulary, words, np.ones(len(words), dtype=bool))[_places(b)].reshape(3, -1)
+        # Neighbours in order look in the same places of the tables.
+        order = np.argsort((m * size + v) * size + u)
+        m, u, v, w = m[order], u[order], v[order], w[order]
         mv = m * size + v
         g2 = _or(self.g2, _find(self.middles, mv, v >= 0), 1.0)
         a2 = _or(self.a2, _find(self.pairs, mv * size + w, (v >= 0) & (w >= 0)), 0.0)
@@ -300,7 +310,9 @@ class Shard:
         out, seen = np.log(rest), above > 0
         p = _unigram(self.by, m[seen], self.left[m[seen], w[seen]])
         out[seen] = np.log(above[seen] + rest[seen] * p) - np.log(p)
-        return out
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def word_logs(self, a: bytes, places: np.ndarray, m: np.ndarray) -> np.ndarray:
         words = _dictionary(a)
@@ -404,8 +416,7 @@ def _sums(docs: DataFrame, units: Units, names: list[str], counts: Counts, turn:
                 yield full(_batch(WORDS, turn.start + i, chunk, _ascending(vocabulary[owned[i] : owned[i + 1]]), _packed(entry), None, told))
 
         for batch in sliced(batches):
-            for d, lang, same, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = units(text)
+            for d, lang, same, found in zip(*(c.to_pylist() for c in batch.columns[:3]), _numbers(units, batch.column(3).to_pylist())):
                 rows.append((d, lang, same, found))
                 size += len(found) * (1 if lang in place else len(names)) + 16
                 if size >= CHUNK:

@@ -80,7 +80,37 @@ def words(data: np.ndarray, separates: np.ndarray = SPACE) -> tuple[np.ndarray,
     return start, end, mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def pieces(data: np.ndarray, separates: np.ndarray) -> Iterator[tuple[int, int]]:
+#: Bytes of a word that are hashed in numpy, eight at a time, and what keeps the first bytes of eight.
+SHORT = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def numbered(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start (bytes) and a 64-bit hash of each run of bytes other than white space."""
+    n = len(data)
+    raw = np.frombuffer(data + bytes(SHORT), dtype=np.uint8)
+    edge = np.zeros(n + 1, dtype=bool)
+    if n:
+        space = SPACE[raw[:n]]
+        edge[0], edge[n] = not space[0], not space[-1]
+        np.not_equal(space[1:], space[:-1], out=edge[1:n])
+    at = np.flatnonzero(edge)
+    start, length = at[::2], at[1::2] - at[::2]
+    eight = np.ndarray((n + SHORT - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    out = mixed((eight[start] & _FIRST[np.minimum(length, 8)]) * _U(_BASE) + length.astype(np.uint64))
+    long = np.flatnonzero(length > 8)
+    for k in range(8, SHORT, 8):
+        if not len(long):
+            break
+        part = eight[start[long] + k] & _FIRST[np.minimum(length[long] - k, 8)]
+        out[long] = mixed((out[long] ^ part) * _U(_BASE) + _U(k))
+        long = long[length[long] > k + 8]
+    for i in long.tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + length[i]], SEED)
+    return start, out
+
+
+def _pieces(data: np.ndarray, separates: np.ndarray) -> Iterator[tuple[int, int]]:
     """Parts of at most ``BYTES`` that end at a separator (longer where a single word is)."""
     at = 0
     while at < len(data):
@@ -119,7 +149,7 @@ class Words:
             to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + BYTES, side="right")) - 1)
             low, high = int(self.offsets[at]), int(self.offsets[to])
             if to == at + 1:
-                for a, b in pieces(self.data[low:high], separates):
+                for a, b in _pieces(self.data[low:high], separates):
                     start, end, h = words(self.data[low + a : low + b], separates)
                     parts.append((start + (low + a), end + (low + a), h))
             else:
